@@ -110,8 +110,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and the number of words in each text.
+def hash_words(texts: list[bytes | None], suffixes: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words, and the number of words in each text; with
+    ``suffixes`` also a hash of each word's last two bytes.
 
     A word's hash is a polynomial in random codes of its bytes, so one running
     sum over the block gives all of them without a Python object for each word.
@@ -132,7 +133,13 @@ def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         h = (run[ends - 1] - before) * down[starts]
         h = mix64(h + (ends - starts).astype(np.uint64))
     bounds = np.concatenate([[0], np.cumsum(lens)])
-    return h, np.diff(np.searchsorted(starts, bounds))
+    counts = np.diff(np.searchsorted(starts, bounds))
+    if not suffixes:
+        return h, counts
+    with np.errstate(over="ignore"):
+        last = _CODES[buf[ends - 1]]
+        tail = mix64(last + np.where(ends - starts > 1, _CODES[buf[ends - 2]] * np.uint64(_P), np.uint64(0)))
+    return h, counts, tail
 
 
 def blocks(texts: list[bytes | None], size: int = BLOCK_BYTES):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embed_dedup, lang_id, media, mixing, near_dedup, packing, quality
+from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, quality
 from tracewell.llm.common import fold
 
 
@@ -29,6 +29,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(_table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = _table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 3) == 1
     ranking = quality.fit(docs, _table(spark, sf_dir, "labels"), ~held_out)
@@ -53,6 +57,7 @@ QUERIES = (
     op2_embedding_near_dedup,
     op3_best_fit_packing,
     op4_minhash_near_dedup,
+    op5_lm_scoring,
     op6_quality_classifier,
     op7_language_id,
     op8_source_mixing,
