@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, quality
+from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, passages, quality
 from tracewell.llm.common import fold
 
 
@@ -53,6 +53,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents")).drop("shard", "offset", "digest", "length")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op2_embedding_near_dedup,
     op3_best_fit_packing,
@@ -62,6 +66,7 @@ QUERIES = (
     op7_language_id,
     op8_source_mixing,
     op9_media_columns,
+    op10_substring_dedup,
 )
 
 
