@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, passages, quality
+from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, passages, pii, quality
 from tracewell.llm.common import fold
 
 
@@ -15,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), "tracewell")
+    return out.select("row.doc_id", F.size("kinds").cast("long").alias("n_entities"), "kinds", "row.text")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -58,6 +63,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_pii_surrogates,
     op2_embedding_near_dedup,
     op3_best_fit_packing,
     op4_minhash_near_dedup,
