@@ -14,6 +14,7 @@ pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 
@@ -23,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, partition_id, prepare
+from tracewell.llm.common import blocks, cut, partition_id, prepare
 
 SEQUENCE_TOKENS = 2048
-#: White-space-free strings whose ids a worker remembers.
-CACHE_LIMIT = 300_000
+#: White-space-free strings whose ids one half of a worker's cache holds.
+CACHE_LIMIT = 500_000
 #: A longer string is encoded each time and not remembered.
 CACHE_CHARS = 64
 
@@ -108,63 +109,105 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[dict[
 _TOKENIZERS: dict[str, object] = {}
 
 
+#: A run of Latin letters, and one full stop or comma at most.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
+
+
 def _tokenizer(path: str):
+    """The tokenizer, and which of its ids end a word."""
     if path not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
+        t = Tokenizer.from_file(path)
+        last = np.zeros(t.get_vocab_size(), bool)
+        last[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
+        _TOKENIZERS[path] = t, last
     return _TOKENIZERS[path]
 
 
 class ChunkIds(dict):
     """string without blanks -> its ids as bytes. The tokenizer splits at white
-    space before all else, so a text's ids are those of its parts in turn."""
+    space before all else, so a text's ids are those of its parts in turn.
+
+    When the newer half of the cache is full the older half goes; strings that
+    are still in use have moved to the newer half by then.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.older = path, {}
         self[""] = b""
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of new chunks; those too long to keep are returned instead."""
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self[chunk] = self.older[chunk]
+        return ids
+
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Add new chunks; those too long to keep are returned instead."""
         if len(self) + len(chunks) > CACHE_LIMIT:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        new = sorted(chunks)
-        long = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            enc = _tokenizer(self.path).encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(enc.ids, "<u4")
+        plain = [c for c in chunks if _PLAIN(c)]
+        rest = [c for c in chunks if not _PLAIN(c)]
+        long: dict[str, bytes] = {}
+        tokenizer, last = _tokenizer(self.path)
+        for at in range(0, len(plain), 8192):
+            part = plain[at : at + 8192]
+            # One text of many words: a letter run and a sign end a word each.
+            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(last[ids]) + 1
+            words = np.cumsum([1 if c[-1].isalpha() else 2 for c in part])
+            if len(ends) != words[-1]:
+                rest += part
+                continue
+            self._keep(part, ids, np.append(0, ends[words - 1]), long)
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            enc = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             of = np.array(enc.word_ids, np.int64)
-            bounds = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-            raw = ids.tobytes()
-            for i, c in enumerate(part):
-                (long if len(c) > CACHE_CHARS else self)[c] = raw[4 * bounds[i] : 4 * bounds[i + 1]]
+            self._keep(part, np.array(enc.ids, "<u4"), np.searchsorted(of, np.arange(len(part) + 1)), long)
         return long
 
-    def ids(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            new = set(chunks) - self.keys()
-            if len(new) + len(self) > CACHE_LIMIT:
-                new = set(chunks)
-            long = self.learn(new)
-            if len(self) >= CACHE_LIMIT or long:
-                return b"".join([self[c] if c in self else long[c] for c in chunks])
-            return b"".join(map(self.__getitem__, chunks))
+    def _keep(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray, long: dict[str, bytes]) -> None:
+        raw, bounds = ids.tobytes(), (4 * bounds).tolist()
+        for i, c in enumerate(chunks):
+            (long if len(c) > CACHE_CHARS else self)[c] = raw[bounds[i] : bounds[i + 1]]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        long: dict[str, bytes] = {}
+        while True:
+            older = self.older
+            new = {c for chunks in split for c in chunks if c not in self and c not in older and c not in long}
+            if not new:
+                break
+            long |= self.learn(sorted(new))
+        if long:
+            return [b"".join([long[c] if c in long else self[c] for c in chunks]) for chunks in split]
+        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
+
+
+_CACHES: dict[str, ChunkIds] = {}
+
+
+def _cache(path: str) -> ChunkIds:
+    """The cache of this worker, which serves one task after another."""
+    if path not in _CACHES:
+        _CACHES[path] = ChunkIds(path)
+    return _CACHES[path]
 
 
 def _pieces(path: str, capacity: int, end: bytes, with_ids: bool):
     def run(it):
-        cache, chunk, ranks = ChunkIds(path), partition_id(), {}
+        cache, chunk, ranks = _cache(path), partition_id(), {}
         for batch in it:
             doc_ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for i, text in enumerate(batch.column(1)):
-                raw = (cache.ids(text.as_py()) if text.is_valid else b"") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for i, raw in enumerate(raw for lo, hi in blocks(texts) for raw in cache.ids(texts[lo:hi])):
+                raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     n = len(part) // 4
