@@ -7,11 +7,11 @@ is an addition.
 
 Texts with equal shingle sets are one class from the start. In each band's
 bucket every class is first compared with the bucket's smallest class, and the
-links found are contracted to components. Pairs in a bucket that still lie in
-different components, and only those, are compared next, until no bucket holds
-an uncompared pair across components. So each link between different texts is
-either found or implied by found ones, and groups of copies never turn into all
-their pairs.
+links found are contracted to components. Where a bucket still holds several
+components, the classes that could be linked across them are tested in blocks
+with matrix products, and only links that join components become rows. So each
+link between different texts is either found or implied by found ones, and
+groups of near copies never turn into rows for all their pairs.
 """
 
 from __future__ import annotations
@@ -107,6 +107,124 @@ def _verify(percent: int):
     return run
 
 
+def _tokens(it):
+    for batch in it:
+        for node, c, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            t = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(t), pa.array(np.full(len(t), node)), pa.array(np.full(len(t), c)), pa.array(np.full(len(t), len(t)))], ["token", "node", "c", "n"]
+            )
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], dense: int = 32) -> np.ndarray:
+    """Sizes of all intersections of sets x[i] and y[j].
+
+    Elements in more than ``dense`` sets are counted by matrix products, the
+    others by their few pairs.
+    """
+    out = np.zeros((len(x), len(y)))
+    flat = np.concatenate([*x, *y])
+    own = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in [*x, *y]])
+    order = np.argsort(flat, kind="stable")
+    flat, own = flat[order], own[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    df = np.diff(np.append(first, len(flat)))
+    column = np.repeat(np.arange(len(first)), df)
+    often = np.flatnonzero(df > dense)
+    for lo in range(0, len(often), 2048):
+        part = often[lo : lo + 2048]
+        at = np.full(len(first), -1)
+        at[part] = np.arange(len(part))
+        keep = at[column] >= 0
+        m = np.zeros((len(x) + len(y), len(part)), np.float32)
+        m[own[keep], at[column[keep]]] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    for size in range(2, dense + 1):
+        at = first[df == size]
+        if len(at):
+            group = own[at[:, None] + np.arange(size)]  # rows: the sets that hold one element
+            for p in range(size):
+                for q in range(size):
+                    i, j = group[:, p], group[:, q] - len(x)
+                    both = (i < len(x)) & (j >= 0)
+                    out += np.bincount(i[both] * len(y) + j[both], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def _test_block(percent: int):
+    """Links across components in one pair of blocks, as few as join what they join."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, c, block = (table.column(n).to_numpy() for n in ("node", "c", "block"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets = [np.frombuffer(m, np.int64) for m in table.column("members").to_pylist()]
+        p, q = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        a, b = [], []
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                v = root[v]
+            return v
+
+        for lo in range(0, len(p), 256):
+            mine = p[lo : lo + 256]
+            for at in range(0, len(q), 256):
+                other = q[at : at + 256]
+                differ = c[mine][:, None] != c[other][None, :]
+                if not differ.any():
+                    continue
+                both = common_counts([sets[k] for k in mine], [sets[k] for k in other])
+                size = np.array([len(sets[k]) for k in mine])[:, None] + np.array([len(sets[k]) for k in other])[None, :]
+                for x, y in zip(*np.nonzero(differ & (100 * both >= percent * (size - both))), strict=True):
+                    u, v = find(int(c[mine[x]])), find(int(c[other[y]]))
+                    if u != v:
+                        root[max(u, v)] = min(u, v)
+                        a.append(int(node[mine[x]]))
+                        b.append(int(node[other[y]]))
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+#: Sets in a block at most, and their shingles.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 2_000_000
+
+
+def _across(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """All links between different components of classes that share a bucket.
+
+    A class can be linked across components only if ``percent`` of its shingles
+    occur in classes of other components; the few classes left are tested
+    against those of their family (what buckets connect) block by block.
+    """
+    placed = members.select("bucket", "node").join(comps, "node", "left")
+    placed = cut(placed.select("bucket", "node", F.coalesce("component_id", "node").alias("c")))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("centre"))
+        return held.where("lo < hi").select("bucket", "centre")
+
+    nodes = placed.join(mixed(placed), "bucket").select("node", "c").distinct()
+    held = cut(nodes.join(sets, "node").select("node", "c", "members"))
+    tokens = held.mapInArrow(_tokens, "token long, node long, c long, n long")
+    tokens = cut(tokens)
+    common = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    able = tokens.join(common, "token").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))
+    able = cut(able.select("node", "n"))
+    placed = placed.join(able.select("node").distinct(), "node", "left_semi")
+    ties = placed.join(mixed(placed), "bucket").select("centre", "node").where("centre <> node").distinct()
+    family = cut(connected_components(ties, "centre", "node").withColumnRenamed("component_id", "family"))
+    rows = held.join(family, "node").withColumn("n", F.length("members") / 8)
+    sized = rows.groupBy("family").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("long")
+    rows = rows.join(sized.select("family", parts.alias("parts")), "family")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", "n"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "c", "members")
+    return cut(rows.groupBy("family", "i", "j").applyInArrow(_test_block(percent), "a long, b long"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -162,26 +280,11 @@ def near_duplicates(
 
     sizes = classes.select("node", "n").distinct()
     star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n").alias("nb")).distinct()
-    star = sized(star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"))
-    tested = cut(star)
-    links = cut(confirm(tested))
-    while True:
-        comps = cut(connected_components(links))
-        placed = members.select("bucket", "node", "n").join(comps, "node", "left")
-        placed = cut(placed.select("bucket", "node", "n", F.coalesce("component_id", "node").alias("c")))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-        left = placed.join(mixed, "bucket")
-        p = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        q = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        open_pairs = sized(p.join(q, "bucket").where("a < b and ca <> cb"))
-        open_pairs = cut(open_pairs.join(tested, ["a", "b"], "left_anti"))
-        if open_pairs.isEmpty():
-            break
-        more = cut(confirm(open_pairs))
-        tested = cut(tested.unionByName(open_pairs))
-        if more.isEmpty():
-            break
-        links = cut(links.unionByName(more))
+    links = cut(confirm(sized(star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a"))))
+    comps = cut(connected_components(links))
+    more = _across(members, sets, comps, percent)
+    if not more.isEmpty():
+        comps = cut(connected_components(links.unionByName(more)))
     placed = (
         classes.select("set_key", "node")
         .join(comps, "node", "left")
