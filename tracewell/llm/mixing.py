@@ -53,9 +53,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
         .withColumn("open", F.sum("w").over(after))
         .withColumn("level", (F.col("budget") - F.col("full")) / F.col("open"))
     )
-    # The level is that of the first source that does not fill; the smallest level
-    # that its own source does not reach below.
-    levels = levels.withColumn("final", F.min(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(everything))
+    # The level is that of the first source that does not fill. Levels fall from
+    # there on, so it is the largest one below its own source's ratio.
+    levels = levels.withColumn("final", F.max(F.when(F.col("level") < F.col("ratio"), F.col("level"))).over(everything))
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("final")))
     return levels.select("source", "source_size", target.alias("target"))
 

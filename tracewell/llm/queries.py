@@ -96,7 +96,7 @@ c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
                 / sum(w) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, CASE WHEN f IS NULL THEN cap ELSE least(cap, w * f) END AS target
-      FROM (SELECT *, min(CASE WHEN level < ratio THEN level END) OVER () AS f FROM l)),
+      FROM (SELECT *, max(CASE WHEN level < ratio THEN level END) OVER () AS f FROM l)),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(round(target) / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
 p AS (SELECT *, CAST(round(target) AS BIGINT) - passes * source_size AS rest FROM g),
 o AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.rest,
