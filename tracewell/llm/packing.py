@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -148,20 +149,25 @@ class ChunkIds(dict):
             self.older = dict(self)
             self.clear()
             self[""] = b""
-        plain = [c for c in chunks if _PLAIN(c)]
-        rest = [c for c in chunks if not _PLAIN(c)]
         long: dict[str, bytes] = {}
         tokenizer, last = _tokenizer(self.path)
-        for at in range(0, len(plain), 8192):
-            part = plain[at : at + 8192]
-            # One text of many words: a letter run and a sign end a word each.
+        plain, rest = [], []
+        for c in chunks:
+            (plain if _PLAIN(c) else rest).append(c)
+        # Case and a full stop or comma at the end do not change a letter run's ids.
+        cores = [(c if c[-1] not in ".," else c[:-1]).lower() for c in plain]
+        new = sorted({k for k in cores if k not in self and k not in self.older})
+        for at in range(0, len(new), 8192):
+            part = new[at : at + 8192]
             ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(last[ids]) + 1
-            words = np.cumsum([1 if c[-1].isalpha() else 2 for c in part])
-            if len(ends) != words[-1]:
-                rest += part
-                continue
-            self._keep(part, ids, np.append(0, ends[words - 1]), long)
+            ends = np.flatnonzero(last[ids]) + 1  # each is one word of the text
+            if len(ends) == len(part):
+                self._keep(part, ids, np.append(0, ends), long)
+        for c, k in zip(plain, cores, strict=True):
+            if k in long or (k not in self and k not in self.older):
+                rest.append(c)
+            elif c != k:
+                self[c] = self[k] if c[-1] not in ".," else self[k] + self._sign(c[-1])
         for at in range(0, len(rest), 8192):
             part = rest[at : at + 8192]
             enc = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
@@ -169,6 +175,11 @@ class ChunkIds(dict):
             self._keep(part, np.array(enc.ids, "<u4"), np.searchsorted(of, np.arange(len(part) + 1)), long)
         return long
 
+    def _sign(self, sign: str) -> bytes:
+        if sign not in self:
+            self[sign] = np.array(_tokenizer(self.path)[0].encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
+        return self[sign]
+
     def _keep(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray, long: dict[str, bytes]) -> None:
         raw, bounds = ids.tobytes(), (4 * bounds).tolist()
         for i, c in enumerate(chunks):
@@ -177,13 +188,14 @@ class ChunkIds(dict):
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
+        seen = set(chain.from_iterable(split))
         long: dict[str, bytes] = {}
         while True:
             older = self.older
-            new = {c for chunks in split for c in chunks if c not in self and c not in older and c not in long}
+            new = [c for c in seen if c not in self and c not in older and c not in long]
             if not new:
                 break
-            long |= self.learn(sorted(new))
+            long |= self.learn(new)
         if long:
             return [b"".join([long[c] if c in long else self[c] for c in chunks]) for chunks in split]
         return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
