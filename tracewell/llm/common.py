@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is absent (tests on one machine) a temporary folder
     of this machine stands in for it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
     path = f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
