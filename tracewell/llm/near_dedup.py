@@ -203,7 +203,7 @@ def _across(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int)
 
     def mixed(rows: DataFrame) -> DataFrame:
         held = rows.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("node").alias("centre"))
-        return held.where("lo < hi").select("bucket", "centre")
+        return cut(held.where("lo < hi").select("bucket", "centre"))
 
     nodes = placed.join(mixed(placed), "bucket").select("node", "c").distinct()
     held = cut(nodes.join(sets, "node").select("node", "c", "members"))
@@ -263,7 +263,8 @@ def near_duplicates(
     # Two classes can share a node when rows repeat an id with other texts: they are linked by it.
     members = cut(classes.select("node", "n", F.explode("bands").alias("bucket")))
     shared = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("far"))
-    shared = shared.where("centre < far").select("bucket", "centre")
+    # Written, so that the join shuffles both sides and AQE can split a hot bucket.
+    shared = cut(shared.where("centre < far").select("bucket", "centre"))
     members = cut(members.join(shared, "bucket"))
     texts = base.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = cut(texts.mapInArrow(_sets(shingle), "node long, members binary"))
