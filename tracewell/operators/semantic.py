@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.constants import SEMANTIC_CHARS
 from tracewell.functions.scores import cosine
+from tracewell.workers import prepare
 
 TOKEN = r"(?U)\b\w\w+\b"
 
@@ -69,3 +73,26 @@ def top_k(pairs: DataFrame, k: int, score: str = "score") -> DataFrame:
     """
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(score), "doc_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def embed(docs: DataFrame, model: Callable[[list[str]], list[list[float]]] | None = None, text: str = "full_text") -> DataFrame:
+    """Adds ``embedding``: the model's vector of each text's first characters.
+
+    The model takes a batch of texts; without one all vectors are empty.
+    """
+    prepare(docs.sparkSession)
+    encode = model or (lambda texts: [[] for _ in texts])
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([list(map(float, v)) for v in encode([t or "" for t in texts.to_pylist()])], pa.list_(pa.float64()))
+
+    return docs.withColumn("embedding", run(F.substring(F.coalesce(text, F.lit("")), 1, SEMANTIC_CHARS)))
+
+
+def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(query_id, doc_id, semantic) from embedding columns, in place of TF-IDF; an empty vector scores 0."""
+    q = queries.select("query_id", F.col("embedding").alias("qv")).where(F.size("qv") > 0)
+    d = corpus.select("doc_id", F.col("embedding").alias("dv")).where(F.size("dv") > 0)
+    pairs = q.crossJoin(d).where(F.size("qv") == F.size("dv"))
+    return pairs.select("query_id", "doc_id", cosine(F.col("qv"), F.col("dv")).alias("semantic"))
