@@ -51,7 +51,7 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
-def encode_png(payload: bytes, level: int = 1) -> bytes:
+def encode_png(payload: bytes, level: int = 6) -> bytes:
     """An 8-bit greyscale PNG with the payload as its samples, in rows of WIDTH."""
     rows = len(payload) // WIDTH
     filtered = np.zeros((rows, WIDTH + 1), np.uint8)  # filter type 0 before each row
