@@ -23,3 +23,11 @@ def test_poor_documents_go_and_good_ones_stay(spark):
     good, bad = labels.where("quality = 1"), labels.where("quality = 0")
     assert good.join(kept, "doc_id", "left_semi").count() > 0.97 * good.count()
     assert bad.join(kept, "doc_id", "left_semi").count() < 0.1 * bad.count() + 1
+
+
+def test_rows_without_an_id_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, "no id at all", "en", "src0", 12), (5, "x y z", "en", None, 5), (5, "x y z", "en", None, 5)], docs.schema)
+    once = P.drop_near_duplicates(spark, odd, SF)
+    assert sorted(r["text"] for r in once.collect()) == ["no id at all", "x y z"]
+    assert P.mix_sources(spark, odd, SF).where("doc_id is null").count() == 1
