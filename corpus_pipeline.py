@@ -29,9 +29,13 @@ def drop_poor_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8); one row for an id that rows repeat."""
+    """One document of each group of near duplicates (five words, 0.8).
+
+    Rows of one id and text count as one; a row without an id stays.
+    """
     kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+    return once.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,11 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of all words, sources weighted 5, 2, 1 and never repeated.
 
     A document of which the mix takes less than half its words stays out; that
-    is one document of a source at most.
+    is one document of a source at most. A row without an id stays.
     """
     mixed = mixing.mix(docs, share=0.9, most=1.0, seed="pipeline")
     taken = mixed.where((F.col("taken") * 2 >= F.col("size")) & ((F.col("taken") > 0) | (F.col("size") == 0))).select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(taken, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
