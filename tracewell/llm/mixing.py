@@ -18,6 +18,8 @@ from tracewell.llm.common import cut
 
 #: Bits of the hash that one histogram resolves, and the number of histograms.
 LEVEL_BITS, LEVELS = 12, 5
+#: Keys that the rows of one source are dealt over in joins with its plan.
+SALTS = 64
 _BITS = LEVEL_BITS * LEVELS
 
 
@@ -60,6 +62,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return levels.select("source", "source_size", target.alias("target"))
 
 
+def _beside(rows: DataFrame, plan: DataFrame, *columns: str) -> DataFrame:
+    """Each row with columns of its source's plan; a source's rows are dealt over SALTS keys."""
+    salted = plan.select(F.col("source").alias("s"), *columns, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.join(salted, F.col("source").eqNullSafe(F.col("s")) & (F.col("h") % SALTS == F.col("salt"))).drop("salt")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -106,10 +114,7 @@ def mix(
         shift = _BITS - LEVEL_BITS * level
         bucket = F.shiftright("h", shift)
         # Only rows of the bucket on the boundary; sums meet before the shuffle.
-        inside = rows.join(
-            plan.select(F.col("source").alias("s"), "prefix"),
-            F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")),
-        )
+        inside = _beside(rows, plan, "prefix").where(F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix"))
         hist = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
         up = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
         hist = hist.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
@@ -127,16 +132,11 @@ def mix(
             (F.col("below") + F.coalesce("before", F.lit(0))).alias("below"),
         )
         plan = cut(plan)
-    at = plan.select(F.col("source").alias("s"), "source_size", "target", "passes", "left", "prefix", "below")
-    tied = (
-        rows.join(at.select("s", "prefix"), F.col("source").eqNullSafe(F.col("s")) & (F.col("h") == F.col("prefix")))
-        .groupBy(F.col("s").alias("t"))
-        .agg(F.sum("size").alias("tied"))
-    )
-    at = at.join(tied, F.col("s").eqNullSafe(F.col("t")), "left")
+    tied = _beside(rows, plan, "prefix").where("h = prefix").groupBy(F.col("s").alias("t")).agg(F.sum("size").alias("tied"))
+    plan = cut(plan.join(tied, F.col("source").eqNullSafe(F.col("t")), "left").drop("t"))
     part = F.floor(F.col("size") * (F.col("left") - F.col("below")) / F.greatest(F.col("tied"), F.lit(1)))
     extra = F.when(F.col("h") < F.col("prefix"), F.col("size")).when(F.col("h") == F.col("prefix"), part).otherwise(F.lit(0))
-    return rows.join(at, F.col("source").eqNullSafe(F.col("s"))).select(
+    return _beside(rows, plan, "source_size", "target", "passes", "left", "prefix", "below", "tied").select(
         "doc_id",
         "source",
         "size",
