@@ -122,7 +122,7 @@ class ShardWriter:
 
 def _write(root: str, limit: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
+        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
     )
 
     def run(it):
@@ -131,10 +131,10 @@ def _write(root: str, limit: int):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True):
                 payload = payload_of(text)
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest not in seen:
                     body = encode_png(payload)
-                    seen[digest] = (*writer.add(f"{digest}.png", body), len(body))
+                    seen[digest] = (*writer.add(f"{digest.hex()}.png", body), len(body))
                 rows.append((doc_id, len(text or b""), digest, *seen[digest]))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -144,7 +144,7 @@ def _write(root: str, limit: int):
 
 
 def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
-    """Store each text's payload; rows (doc_id, n_bytes, digest, shard, offset, length).
+    """Store each text's payload; rows (doc_id, n_bytes, digest as bytes, shard, offset, length).
 
     The rows are a written table. Equal payloads share one place: every task
     stores a digest once, and all rows then carry the first of these places. A
@@ -152,7 +152,7 @@ def write_shards(docs: DataFrame, root: str, id_col: str = "doc_id", text_col: s
     """
     prepare(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    rows = cut(base.mapInArrow(_write(root, limit), "doc_id long, n_bytes long, digest string, shard string, offset long, length long"))
+    rows = cut(base.mapInArrow(_write(root, limit), "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"))
     return rows
 
 
@@ -188,7 +188,7 @@ def header_columns(spots: DataFrame, root: str) -> DataFrame:
                 [*batch.schema.names, "width", "height", "bits"],
             )
 
-    return spots.mapInArrow(run, "digest string, shard string, offset long, length long, width int, height int, bits int")
+    return spots.mapInArrow(run, "digest binary, shard string, offset long, length long, width int, height int, bits int")
 
 
 def feature(payload: bytes) -> str:
@@ -200,8 +200,8 @@ def feature(payload: bytes) -> str:
 
 def _features(root: str):
     schema = pa.schema(
-        [("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-         ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32())]
+        [("digest", pa.binary()), ("payload_bytes", pa.int64()), ("tail_crc32", pa.int64()),
+         ("media_bytes", pa.int64()), ("media_sha256", pa.binary()), ("feature", pa.string()), ("width", pa.int32()), ("height", pa.int32())]
     )
 
     def run(it):
@@ -213,10 +213,10 @@ def _features(root: str):
                 width, height, _ = read_header(file.read_at(HEADER_BYTES, offset))
                 media = file.read_at(length, offset)
                 payload = decode_png(media)
-                sha = hashlib.sha256(payload).hexdigest()
-                if sha != digest:
-                    raise ValueError(f"{shard}@{offset}: payload is not {digest}")
-                rows.append((digest, len(payload), sha, zlib.crc32(payload[-32:]), length, hashlib.sha256(media).hexdigest(), feature(payload), width, height))
+                read_back = hashlib.sha256(payload).digest()
+                if read_back != digest:
+                    raise ValueError(f"{shard}@{offset}: payload is not {digest.hex()}")
+                rows.append((read_back, len(payload), zlib.crc32(payload[-32:]), length, hashlib.sha256(media).digest(), feature(payload), width, height))
             cols = list(zip(*rows, strict=True)) or [()] * len(schema)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -238,14 +238,14 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     # Members of a shard are read together; a shard is bounded by ``limit``.
     read = spots.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(
         _features(root),
-        "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int",
+        "digest binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, width int, height int",
     )
     read = cut(read)
     at = spots.join(read, "digest")
     # A hot digest's rows are split by AQE; the other side has one row for it.
     return rows.select("doc_id", "n_bytes", "digest").join(at, "digest").select(
-        "doc_id", "n_bytes", "digest", "shard", "offset", "length", "width", "height", "payload_bytes",
-        "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
+        "doc_id", "n_bytes", F.lower(F.hex("digest")).alias("digest"), "shard", "offset", "length", "width", "height", "payload_bytes",
+        F.lower(F.hex("digest")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature",
     )
 
 
