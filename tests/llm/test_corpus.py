@@ -268,6 +268,23 @@ def test_passages_find_exact_and_edited_repeats_only(spark):
     assert passages.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_made_of_frequent_lines_are_found(spark):
+    rng = random.Random(21)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    docs = {}
+    for g in range(5):
+        lines = [text(20) for _ in range(3)]
+        for i in range(2):
+            docs[1000 + 2 * g + i] = text(40) + lines[0] + lines[1] + lines[2] + text(40)
+        for line in lines:
+            for _ in range(60):
+                docs[len(docs)] = text(30) + line + text(30)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in got} == {(1000 + 2 * g, 1001 + 2 * g) for g in range(5)}
+    assert all((r["start_word"], r["end_word"], r["words"]) == (40, 100, 60) for r in got) and len(got) == 5
+
+
 def test_chains_equal_quadratic_dynamic_programming():
     rng = random.Random(12)
     for _ in range(60):
