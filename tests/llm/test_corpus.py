@@ -285,6 +285,29 @@ def test_passages_made_of_frequent_lines_are_found(spark):
     assert all((r["start_word"], r["end_word"], r["words"]) == (40, 100, 60) for r in got) and len(got) == 5
 
 
+def test_passages_that_stand_twice_and_periodic_lines_are_found(spark):
+    rng = random.Random(22)
+    text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    line = text(7)
+    want = {3: [(30, 90)], 4: [(30, 113)], 5: [(30, 100)], 6: [(30, 130)]}
+    docs = {3: text(30) + ["la"] * 60 + text(30), 4: text(30) + ["la"] * 83 + text(30)}
+    docs |= {5: text(30) + line * 10 + text(30), 6: text(30) + (line * 15)[:100] + text(30)}
+    for g in range(10, 26, 2):  # once in one document and twice in the other, without an equal run of 50 words
+        part = text(81)
+        once, twice = ([f"e{g}" if i % 40 == at else w for i, w in enumerate(part)] for at in (18, 38))
+        docs |= {g: text(20) + once + text(20), g + 1: text(20) + twice + text(40) + twice + text(20)}
+        want |= {g: [(20, 101)], g + 1: [(20, 101), (141, 222)]}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(df).collect():
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        covered[r["other_id"]].update(range(r["other_start"], r["other_end"]))
+    for i, places in want.items():
+        for lo, hi in places:
+            assert len(covered[i] & set(range(lo, hi))) >= hi - lo - 5, (i, lo, hi)
+    assert all(len(covered[i]) <= sum(hi - lo + 10 for lo, hi in places) for i, places in want.items())
+
+
 def test_chains_equal_quadratic_dynamic_programming():
     rng = random.Random(12)
     for _ in range(60):
