@@ -308,6 +308,22 @@ def test_passages_that_stand_twice_and_periodic_lines_are_found(spark):
     assert all(len(covered[i]) <= sum(hi - lo + 10 for lo, hi in places) for i, places in want.items())
 
 
+def test_passages_with_many_edits_are_found(spark):
+    rng = random.Random(23)
+    text = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+    docs, kinds = {}, ((52, 10), (60, 8), (80, 6), (100, 5))
+    for g in range(80):
+        n, every = kinds[g % 4]
+        part = text(n)
+        copy = [f"e{g}" if i % every == every - 1 and i < n - 1 else w for i, w in enumerate(part)]
+        docs |= {2 * g: text(70) + part + text(70), 2 * g + 1: text(40) + copy + text(40)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")
+    pairs = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in passages.repeated_passages(df).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in pairs)
+    found = Counter(a // 2 % 4 for a, _ in pairs)
+    assert [found[i] for i in range(3)] == [20, 20, 20] and found[3] >= 15
+
+
 def test_chains_equal_quadratic_dynamic_programming():
     rng = random.Random(12)
     for _ in range(60):
