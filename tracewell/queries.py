@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell import constants as C
 from tracewell.functions import scores as S
 from tracewell.functions import text as T
 from tracewell.operators import store
@@ -323,17 +324,11 @@ def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _adjacent(spark, sf_dir).select("page_id", S.list_ratio(F.col("paragraphs"), F.col("o_paragraphs"), 60.0).alias("score"))
 
 
-def _candidates(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q, d = D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir)
-    found = keyword_top_k(q, d, k).select("query_id", "doc_id", "rank")
-    sem = tfidf_scores(q, d)
-    return q, d, found.join(sem, ["query_id", "doc_id"], "left").fillna(0.0, ["semantic"])
-
-
 @query()
 def ordered_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered coverage of each passage in its five best documents by keywords."""
-    q, d, found = _candidates(spark, sf_dir, 5)
+    """Ordered coverage of each passage in all its candidates."""
+    q, d = D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir)
+    found = retrieve(q, d, C.MAX_CANDIDATES)
     pairs = found.select("query_id", "doc_id").join(q.select("query_id", F.col("full_text").alias("a")), "query_id").join(d.select("doc_id", F.col("full_text").alias("b")), "doc_id")
     pairs = pairs.repartition(spread(spark), "query_id", "doc_id")
     return pairs.select("query_id", "doc_id", S.scorer("ordered_coverage")("a", "b").alias("coverage"), S.scorer("text_similarity")("a", "b").alias("similarity"))
@@ -346,9 +341,8 @@ def retrieve_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def deep_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All verdict columns of the five best candidates by keywords and codes."""
-    q, d, found = _candidates(spark, sf_dir, 5)
-    return P.ranked(P.compare(q, d, found))
+    """All verdict columns of the candidates of each passage, as a search compares them."""
+    return P.search(D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir))
 
 
 @query()
