@@ -379,6 +379,29 @@ def test_surrogates_keep_kind_format_and_coreference(spark):
     assert pii.pseudonymise(df.limit(0), "key").count() == 0
 
 
+def test_surrogates_of_long_names_and_compact_numbers(spark):
+    cards = ("4222222222222", "30569309025904", "3056 930902 5904", "6304000000000000000", "6304 0000 0000 0000 000")
+    phones = ("+442071838750", "5551234567", "+33 6 12 34 56 78", "+49 30 1234567")
+    names = ("Dr Anna Maria Schmidt", "Mr John F. Kennedy", "Mr J. Smith", "Herr Ludwig van der Berg", "Herr Dr. Schmidt", "Mr J.R. Smith")
+    texts = [*cards, *phones, *names, "4539 1488 0343 6467 12"]
+    df = spark.createDataFrame([(i, f"see {t}, please") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogates(df, "k").select("row.doc_id", "row.text", F.col("kinds").alias("found")).collect()}
+    new = [got[i]["text"][4:-8] for i in range(len(texts))]
+    assert all(got[i]["text"].endswith(", please") for i in got)
+    for i, (t, n) in enumerate(zip(texts, new, strict=True)):
+        kind = "card" if i < 5 or i == len(texts) - 1 else "phone" if i < 9 else "name"
+        assert got[i]["found"] == [kind] and n != t, (t, n)
+        if kind != "name":
+            assert [c if c.isdigit() else "" for c in t].count("") == [c if c.isdigit() else "" for c in n].count("") and len(n) == len(t)
+    assert all(luhn("".join(c for c in n if c.isdigit())) == 0 for n in new[:5])
+    assert new[-1].endswith(" 12") and luhn(new[-1][:19].replace(" ", "")) == 0
+    for t, n in zip(names, new[9:-1], strict=True):
+        old, now = t.split(), n.split()
+        assert len(old) == len(now) and old[0] == now[0] and old[-1] != now[-1] and not {"Anna", "Maria", "John", "Ludwig"} & set(now)
+    assert new[12].split()[2:4] == ["van", "der"] and new[13].split()[1] == "Dr." and new[10].split()[2][1:] == new[11].split()[1][1:] == "."
+    assert new[9].split()[3] == new[13].split()[2] and new[11].split()[2] == new[14].split()[2]
+
+
 def test_surrogates_are_distinct_and_never_entities(spark):
     units = spark.range(20_000).select(F.lit("ssn").alias("kind"), F.lpad((F.col("id") % 9999).cast("string"), 4, "0").alias("canonical"))
     got = pii.dictionary(units.where("canonical < '4000'"), "k").collect()

@@ -27,10 +27,11 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "card": r"(?<![\w-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}|\d{4}[ -]?\d{6}[ -]?\d{5})(?![\w-])",
+    # 16 to 19 digits, also in groups of four; 14 and 15 as 4-6-4 and 4-6-5; 13 as 4-3-3-3; others without separators
+    "card": r"(?<![\w-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5}|[2-6]\d{3}[ -]?\d{3}[ -]?\d{3}[ -]?\d{3})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w)(?!\.\d)",
-    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?![\w-])|(?<![\w.-])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?![\w-])|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?![\w-])|(?<![\w.-])\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]\d{1,8}){2,7}(?![\w-])|(?<![\w.-])\+\d{1,3}[ .-]?\d{6,14}(?![\w-])|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])[2-9]\d{9}(?![\w-])(?!\.\d)",
 }
 # Forms of address by the gender they tell.
 ADDRESS = {
@@ -39,10 +40,16 @@ ADDRESS = {
     "n": ("Dr", "Prof"),
 }
 _FORMS = "|".join(f for forms in ADDRESS.values() for f in forms)
-PATTERNS["name"] = rf"(?<![\p{{L}}\d])(?:{_FORMS})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+# Words inside a surname that stay as they are.
+PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "zum", "ter", "ten", "bin", "ibn", "al", "el")
+_PARTS = "|".join(PARTICLES)
+_FULL = rf"(?!(?:{_FORMS})(?![\p{{L}}'-]))\p{{Lu}}[\p{{L}}'-]+"
+INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}"
+#: Forms of address, then any number of names, initials and particles; the last is a name.
+PATTERNS["name"] = rf"(?<![\p{{L}}\d])(?:(?:{_FORMS})\.? )+(?:(?:{INITIAL}|{_PARTS}|{_FULL}) )*{_FULL}"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Without one of these a text holds no entity.
-_HINT = rf"[0-9@]|(?:{_FORMS})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|(?:{_FORMS})\.? (?:\p{{Lu}}|(?:{_PARTS}) )"
 
 # Syllables and endings of invented names, by script.
 SYLLABLES = {
@@ -88,13 +95,22 @@ def mod97(v: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: (a * F.when(x > 9, 100).otherwise(10) + x) % 97)
 
 
+def card_digits(v: Column) -> Column:
+    """The card number in a found string: all digits, or the first 16 before a
+    group of others, as its check digit tells; empty if neither has one."""
+    digits = _digits(v)
+    first = F.substring(digits, 1, 16)
+    apart = v.rlike("[ -][0-9]{1,3}$") & (F.length(digits) > 16)
+    return F.when(luhn_sum(digits) % 10 == 0, digits).when(apart & (luhn_sum(first) % 10 == 0), first).otherwise(F.lit(""))
+
+
 def kind_of(v: Column) -> Column:
     """The kind of a found string; null for one that fails its check digits."""
     out = reduce(lambda c, k: c.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)), ("email", "ip", "ssn"), F.when(F.lit(False), F.lit("")))
     compact = F.regexp_replace(v, " ", "")
     out = out.when(v.rlike("^[A-Z]{2}[0-9]{2}"), F.when(mod97(compact) == 1, F.lit("iban")))
     is_card = v.rlike(f"^(?:{PATTERNS['card']})$")
-    out = out.when(is_card, F.when(luhn_sum(_digits(v)) % 10 == 0, F.lit("card")))
+    out = out.when(is_card, F.when(F.length(card_digits(v)) > 0, F.lit("card")))
     return out.when(v.rlike("^[+(0-9]"), F.lit("phone")).otherwise(F.lit("name"))
 
 
@@ -156,10 +172,15 @@ def derive(kind: Column, canonical: Column, attempt: Column, key: str) -> Column
     )
 
 
+def _named(word: Column) -> Column:
+    """Whether a word of a found name is neither a form of address nor a particle."""
+    return ~F.regexp_replace(word, "[.]$", "").isin(*[f for forms in ADDRESS.values() for f in forms], *PARTICLES)
+
+
 def _units(v: Column, kind: Column) -> Column:
     """The entities of a found string: array of (kind, canonical). A name's words
     are one entity each, so 'Mr Jan Roth' and 'Mr Roth' share the surname."""
-    words = F.slice(F.split(v, " "), 2, 2)
+    words = F.filter(F.split(v, " "), _named)
     gender = F.when(F.lit(False), F.lit(""))
     for g, forms in ADDRESS.items():
         gender = gender.when(F.regexp_replace(F.split(v, " ")[0], "[.]", "").isin(*forms), F.lit(g))
@@ -169,6 +190,7 @@ def _units(v: Column, kind: Column) -> Column:
         F.when(kind == "email", F.lower(v))
         .when(kind == "ip", v)
         .when(kind == "iban", F.regexp_replace(v, " ", ""))
+        .when(kind == "card", card_digits(v))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9)).otherwise(digits))
         .otherwise(digits)
     )
@@ -206,17 +228,25 @@ def render(v: Column, kind: Column, surrogates: Column) -> Column:
     # digits are filled in from the right, so a country code outside the canonical form stays
     at = F.transform(chars, lambda c, i: F.length(_digits(F.substr(v, i + 1, F.lit(1 << 20)))))
 
+    # what follows a card number stays too
+    rest = F.when(kind == "card", n - F.length(one)).otherwise(0)
+
     def fill(c: Column, left: Column, by: Column) -> Column:
-        size = F.length(by)
-        return F.when(c.rlike("[0-9]") & (left <= size), F.substr(by, size - left + 1, F.lit(1))).otherwise(c)
+        size, left = F.length(by), left - rest
+        return F.when(c.rlike("[0-9]") & (left > 0) & (left <= size), F.substr(by, size - left + 1, F.lit(1))).otherwise(c)
 
     numbers = F.array_join(F.zip_with(chars, at, lambda c, left: fill(c, left, one)), "")
     plain = F.regexp_replace(v, " ", "")
     spaces = F.transform(chars, lambda c, i: F.length(F.regexp_replace(F.substr(v, F.lit(1), i + 1), " ", "")))
     iban = F.array_join(F.zip_with(chars, spaces, lambda c, k: F.when(c == " ", c).otherwise(F.substr(one, k, F.lit(1)))), "")
-    words = F.slice(F.split(v, " "), 2, 2)
-    shaped = F.zip_with(words, surrogates, lambda w, s: F.when(w == F.upper(w), F.upper(s)).otherwise(F.initcap(s)))
-    name = F.concat_ws(" ", F.split(v, " ")[0], F.array_join(shaped, " "))
+    words = F.split(v, " ")
+
+    def shape(w: Column, s: Column) -> Column:
+        new = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(F.initcap(s))
+        return F.when(w.rlike(f"^(?:{INITIAL})$"), F.concat(F.substring(F.initcap(s), 1, 1), F.regexp_extract(w, "[.]?$", 0))).otherwise(new)
+
+    shaped = F.transform(words, lambda w, i: F.when(_named(w), shape(w, F.get(surrogates, F.size(F.filter(F.slice(words, F.lit(1), i + 1), _named)) - 1))).otherwise(w))
+    name = F.array_join(shaped, " ")
     email = F.when(v == F.upper(v), F.upper(one)).otherwise(one)
     return (
         F.when(kind == "email", email).when(kind == "ip", one).when(kind == "iban", iban).when(kind == "name", name)
