@@ -103,6 +103,17 @@ def test_word_hashes_do_not_depend_on_the_block():
     assert next(common.hashed([b"ABC"]))[1][0] == next(common.hashed([b"abc"]))[1][0]
 
 
+def test_word_hashes_do_not_depend_on_the_segment(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab \tÉ") * rng.randrange(9) for _ in range(60)).encode() for _ in range(200)] + [b"x" * 500, b"", b"y"]
+    whole = common.hash_words(texts, suffixes=True)
+    assert whole[1].tolist() == [len(t.split()) for t in texts]
+    for size in (1, 16, 37):
+        monkeypatch.setattr(common, "SEGMENT_BYTES", size)
+        monkeypatch.setattr(common, "_POWERS", [])
+        assert all((a == b).all() for a, b in zip(whole, common.hash_words(texts, suffixes=True), strict=True))
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(5, 5), (None, 3)]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -17,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that are hashed at once; a longer text is a block of its own.
+#: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes that are hashed at once, also within a long text or a long word.
+SEGMENT_BYTES = 1 << 18
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -34,11 +37,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; it goes when the driver ends.
 
-    Only where that setting is absent (tests on one machine) a temporary folder
-    of this machine stands in for it.
+    Where that setting is absent, a temporary folder of this machine stands in
+    for it if all of Spark runs in this process; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
     path = f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
@@ -63,10 +68,31 @@ def cut(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: ends its lineage."""
     spark = df.sparkSession
     path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    # Nothing looks for the marker file of a table that only this run reads.
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one run, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = cut(df, path)
+        self.paths[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that no later plan reads, and the shuffle files of plans that have run."""
+        for t in tables:
+            drop(self.spark, self.paths.pop(id(t))[0])
+        # The context cleaner deletes shuffle files when the driver has collected the plans that wrote them.
+        self.spark.sparkContext._jvm.System.gc()
+
+
 def text_bytes(col: pa.Array) -> list:
     """UTF-8 bytes of each text; a null is None."""
     if isinstance(col, pa.ChunkedArray):
@@ -97,43 +123,79 @@ _CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of an odd number and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 2 * BLOCK_BYTES)
-        made = []
+def _powers() -> list[np.ndarray]:
+    """The first SEGMENT_BYTES powers of an odd number and of its inverse, modulo 2**64."""
+    if not _POWERS:
         for base in (_P, pow(_P, -1, 1 << 64)):
-            x = np.full(n, base, np.uint64)
+            x = np.full(SEGMENT_BYTES, base, np.uint64)
             x[0] = 1
-            made.append(np.cumprod(x, dtype=np.uint64))
-        _POWERS[:] = made
-    return _POWERS[0], _POWERS[1]
+            _POWERS.append(np.cumprod(x, dtype=np.uint64))
+    return _POWERS
 
 
-def hash_words(texts: list[bytes | None], suffixes: bool = False) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of all words, and the number of words in each text; with
-    ``suffixes`` also a hash of each word's last two bytes.
+def word_table(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of all words of a byte array that ends with a blank.
 
     A word's hash is a polynomial in random codes of its bytes, so one running
-    sum over the block gives all of them without a Python object for each word.
+    sum gives all of them without a Python object for each word. The bytes are
+    read segment by segment; the word that a segment's end cuts carries its sum
+    on, so the arrays beside the result have a fixed size.
     """
-    lens = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
-    buf = np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
-    space = _WS[buf]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(buf))
+    up, down = _powers()
+    sums, starts, ends = [], [], []
+    cut_at, cut_sum = -1, 0  # the word that the last segment's end has cut
+    for lo in range(0, len(buf), SEGMENT_BYTES):
+        part = buf[lo : lo + SEGMENT_BYTES]
+        space = _WS[part]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        if not space[0]:
+            edge = np.concatenate([[0], edge])
+        if len(edge) % 2:
+            edge = np.append(edge, len(part))
+        s, e = edge[0::2], edge[1::2]
+        with np.errstate(over="ignore"):
+            codes = _CODES[part]
+            codes *= up[: len(part)]
+            run = np.cumsum(codes, dtype=np.uint64)
+            h = (run[e - 1] - np.where(s > 0, run[s - 1], np.uint64(0))) * down[s]
+        s, e = s + lo, e + lo
+        if cut_at >= 0:
+            if len(s) and s[0] == lo:
+                h[0] = (cut_sum + int(h[0]) * pow(_P, lo - cut_at, 1 << 64)) % (1 << 64)
+                s[0] = cut_at
+            else:
+                h, s, e = np.concatenate([[np.uint64(cut_sum)], h]), np.concatenate([[cut_at], s]), np.concatenate([[lo], e])
+            cut_at = -1
+        if len(e) and e[-1] == lo + len(part) < len(buf):
+            cut_at, cut_sum = int(s[-1]), int(h[-1])
+            h, s, e = h[:-1], s[:-1], e[:-1]
+        sums.append(h)
+        starts.append(s)
+        ends.append(e)
+    if not sums:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s, e = np.concatenate(starts), np.concatenate(ends)
     with np.errstate(over="ignore"):
-        codes = _CODES[buf]
-        codes *= up[: len(buf)]
-        run = np.cumsum(codes, dtype=np.uint64)
-        before = np.where(starts > 0, run[starts - 1], np.uint64(0))
-        h = (run[ends - 1] - before) * down[starts]
-        h = mix64(h + (ends - starts).astype(np.uint64))
-    bounds = np.concatenate([[0], np.cumsum(lens)])
-    counts = np.diff(np.searchsorted(starts, bounds))
+        return mix64(np.concatenate(sums) + (e - s).astype(np.uint64)), s, e
+
+
+def joined(texts: list[bytes | None]) -> np.ndarray:
+    """The bytes of all texts, a blank after each."""
+    return np.frombuffer(b" ".join([t or b"" for t in texts]) + b" ", np.uint8)
+
+
+def word_counts(texts: list[bytes | None], starts: np.ndarray) -> np.ndarray:
+    """The number of words in each text, from the starts of all words in ``joined(texts)``."""
+    lens = np.fromiter((len(t) + 1 if t else 1 for t in texts), np.int64, len(texts))
+    return np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(lens)])))
+
+
+def hash_words(texts: list[bytes | None], suffixes: bool = False) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words, and the number of words in each text; with
+    ``suffixes`` also a hash of each word's last two bytes."""
+    buf = joined(texts)
+    h, starts, ends = word_table(buf)
+    counts = word_counts(texts, starts)
     if not suffixes:
         return h, counts
     with np.errstate(over="ignore"):
