@@ -13,11 +13,11 @@ pieces of its length.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections import deque
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import blocks, cut, partition_id, prepare
+from tracewell.llm.common import blocks, cut, joined, partition_id, prepare, text_bytes, word_counts, word_table
 
 SEQUENCE_TOKENS = 2048
-#: White-space-free strings whose ids one half of a worker's cache holds.
-CACHE_LIMIT = 500_000
-#: A longer string is encoded each time and not remembered.
-CACHE_CHARS = 64
+#: Parts between blanks whose ids a worker holds; then it begins anew.
+CACHE_PARTS = 1_200_000
 
 
 class CapacityTree:
@@ -107,118 +105,206 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> tuple[dict[
     return runs, bins
 
 
-_TOKENIZERS: dict[str, object] = {}
+class Encoder:
+    """Ids of texts, equal to those of the tokenizer file.
 
+    Where the file is a BPE with word ends that lower-cases, splits at white space
+    before all else and keeps a run of letters whole, a text's ids are those of
+    its parts between blanks in turn. Parts are then looked up by a 64-bit hash
+    of their bytes (A-Z lower-cased) in a table, and only new ones are encoded. Two
+    parts of one table would need equal hashes to be mixed up: a chance of 1e-8
+    with CACHE_PARTS of them. Any other file, and a text that holds a special token,
+    is encoded text by text.
+    """
 
-#: A run of Latin letters, and one full stop or comma at most.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?").fullmatch
-
+    SLOTS = 1 << 21
 
-def _tokenizer(path: str):
-    """The tokenizer, and which of its ids end a word."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        last = np.zeros(t.get_vocab_size(), bool)
-        last[[i for w, i in t.get_vocab().items() if w.endswith("</w>")]] = True
-        _TOKENIZERS[path] = t, last
-    return _TOKENIZERS[path]
-
-
-class ChunkIds(dict):
-    """string without blanks -> its ids as bytes. The tokenizer splits at white
-    space before all else, so a text's ids are those of its parts in turn.
-
-    When the newer half of the cache is full the older half goes; strings that
-    are still in use have moved to the newer half by then.
-    """
-
-    def __init__(self, path: str):
-        self.path, self.older = path, {}
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self[chunk] = self.older[chunk]
-        return ids
-
-    def learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Add new chunks; those too long to keep are returned instead."""
-        if len(self) + len(chunks) > CACHE_LIMIT:
-            self.older = dict(self)
-            self.clear()
-            self[""] = b""
-        long: dict[str, bytes] = {}
-        tokenizer, last = _tokenizer(self.path)
-        plain, rest = [], []
-        for c in chunks:
-            (plain if _PLAIN(c) else rest).append(c)
-        # Case and a full stop or comma at the end do not change a letter run's ids.
-        cores = [(c if c[-1] not in ".," else c[:-1]).lower() for c in plain]
-        new = sorted({k for k in cores if k not in self and k not in self.older})
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(last[ids]) + 1  # each is one word of the text
-            if len(ends) == len(part):
-                self._keep(part, ids, np.append(0, ends), long)
-        for c, k in zip(plain, cores, strict=True):
-            if k in long or (k not in self and k not in self.older):
-                rest.append(c)
-            elif c != k:
-                self[c] = self[k] if c[-1] not in ".," else self[k] + self._sign(c[-1])
-        for at in range(0, len(rest), 8192):
-            part = rest[at : at + 8192]
-            enc = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            of = np.array(enc.word_ids, np.int64)
-            self._keep(part, np.array(enc.ids, "<u4"), np.searchsorted(of, np.arange(len(part) + 1)), long)
-        return long
-
-    def _sign(self, sign: str) -> bytes:
-        if sign not in self:
-            self[sign] = np.array(_tokenizer(self.path)[0].encode(sign, add_special_tokens=False).ids, "<u4").tobytes()
-        return self[sign]
-
-    def _keep(self, chunks: list[str], ids: np.ndarray, bounds: np.ndarray, long: dict[str, bytes]) -> None:
-        raw, bounds = ids.tobytes(), (4 * bounds).tolist()
-        for i, c in enumerate(chunks):
-            (long if len(c) > CACHE_CHARS else self)[c] = raw[bounds[i] : bounds[i + 1]]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"].lower().encode() for t in spec.get("added_tokens", [])]
+        self.by_parts = _splits_at_blanks(spec)
+        if self.by_parts:
+            # The same merges for strings that are lower-case letter runs already.
+            spec |= {"normalizer": None, "added_tokens": [], "post_processor": None}
+            spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            self.letters = Tokenizer.from_str(json.dumps(spec))
+            self.ends = np.zeros(self.whole.get_vocab_size(), bool)
+            self.ends[[i for w, i in self.whole.get_vocab().items() if w.endswith("</w>")]] = True
+            self.signs = {s: self._plain(s.decode()) for s in (b".", b",")}
+            self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.first, self.size = np.zeros(CACHE_PARTS + 1, np.int64), np.zeros(CACHE_PARTS, np.int32)
+        self.flat, self.n = np.zeros(1 << 20, "<u4"), 0
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slot of each hash, or the free one where it belongs; and whether it is there."""
+        at = (h & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        left = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (self.SLOTS - 1)
+            now = self.keys[at[left]]
+            left = left[(now != h[left]) & (now != 0)]
+        return at, self.keys[at] == h
+
+    def _add(self, h: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Entries for different hashes that are not in the table yet."""
+        total = int(self.first[self.n]) + len(ids)
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(total, "<u4")])
+        self.flat[total - len(ids) : total] = ids
+        new = np.arange(self.n, self.n + len(h))
+        self.size[new] = sizes
+        self.first[new + 1] = self.first[self.n] + np.cumsum(sizes)
+        self.n += len(h)
+        while len(h):
+            at, _ = self._slots(h)
+            self.keys[at] = h  # of several that want one slot the last stays
+            placed = self.keys[at] == h
+            self.entry[at[placed]] = new[placed]
+            h, new = h[~placed], new[~placed]
+
+    def _gather(self, entries: np.ndarray) -> np.ndarray:
+        n = self.size[entries].astype(np.int64)
+        return self.flat[np.repeat(self.first[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _encode(self, words: list[str], h: np.ndarray) -> None:
+        for lo in range(0, len(words), 8192):
+            part = words[lo : lo + 8192]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            assert len(ends) == len(part)
+            self._add(h[lo : lo + 8192], np.diff(ends, prepend=0), ids)
+
+    def _learn(self, parts: list[bytes], h: np.ndarray) -> None:
+        plain = np.fromiter((_PLAIN(p) is not None for p in parts), bool, len(parts))
+        # A full stop or comma at the end does not change a letter run's ids.
+        cores = sorted({p.rstrip(b".,").lower() for p, ok in zip(parts, plain.tolist(), strict=True) if ok})
+        if cores:
+            ch = word_table(joined(cores))[0]
+            _, there = self._slots(ch)
+            new = np.flatnonzero(~there)
+            self._encode([cores[i].decode().lower() for i in new.tolist()], ch[new])
+        for sign, more in self.signs.items():
+            mine = [i for i in np.flatnonzero(plain).tolist() if parts[i].endswith(sign)]
+            if mine:
+                at, _ = self._slots(word_table(joined([parts[i][:-1] for i in mine]))[0])
+                entries = self.entry[at]
+                sizes = self.size[entries]
+                ids = np.insert(self._gather(entries), np.repeat(np.cumsum(sizes), len(more)), np.tile(more, len(mine)))
+                self._add(h[mine], sizes + len(more), ids)
+        rest = np.flatnonzero(~plain)
+        for lo in range(0, len(rest), 8192):
+            some = rest[lo : lo + 8192]
+            enc = self.whole.encode([parts[i].decode() for i in some], is_pretokenized=True, add_special_tokens=False)
+            sizes = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(some))
+            self._add(h[some], sizes, np.array(enc.ids, "<u4"))
+
+    def _block(self, texts: list[bytes]) -> list[bytes]:
+        buf = joined(texts)
+        h, starts, ends = word_table(buf)
+        h[h == 0] = 1  # 0 marks a free slot
+        at, there = self._slots(h)
+        if not there.all():
+            new, first = np.unique(h[~there], return_index=True)
+            if self.n + 2 * len(new) > CACHE_PARTS:
+                self._clear()
+                new, first = np.unique(h, return_index=True)
+                there = np.zeros(len(h), bool)
+            raw, of = buf.tobytes(), np.flatnonzero(~there)[first]
+            self._learn([raw[s:e] for s, e in zip(starts[of].tolist(), ends[of].tolist(), strict=True)], new)
+            at, _ = self._slots(h)
+        entries = self.entry[at]
+        ids = self._gather(entries)
+        last = np.concatenate([[0], np.cumsum(self.size[entries], dtype=np.int64)])
+        cuts = last[np.concatenate([[0], np.cumsum(word_counts(texts, starts))])].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        seen = set(chain.from_iterable(split))
-        long: dict[str, bytes] = {}
-        while True:
-            older = self.older
-            new = [c for c in seen if c not in self and c not in older and c not in long]
-            if not new:
+        out: list[bytes | None] = [None] * len(texts)
+        for lo, hi in blocks(texts):
+            mine = list(range(lo, hi))
+            if self.by_parts:
+                lower = b" ".join(texts[lo:hi]).lower()
+                if any(s in lower for s in self.special):
+                    mine = [i for i in mine if not any(s in texts[i].lower() for s in self.special)]
+                # A block with more new parts than the table holds goes text by text.
+                if sum(len(texts[i]) for i in mine) < CACHE_PARTS:
+                    for i, raw in zip(mine, self._block([texts[i] for i in mine]), strict=True):
+                        out[i] = raw
+            for i in range(lo, hi):
+                if out[i] is None:
+                    out[i] = b"".join(self._plain(part).tobytes() for part in self._pieces(texts[i].decode()))
+        return out
+
+    def _pieces(self, text: str):
+        """A long text in parts, cut before a blank, where that does not change its ids."""
+        at = 0
+        while self.by_parts and len(text) - at > CACHE_PARTS // 2:
+            end = text.rfind(" ", at + 1, at + CACHE_PARTS // 2)
+            if end < 0:
                 break
-            long |= self.learn(new)
-        if long:
-            return [b"".join([long[c] if c in long else self[c] for c in chunks]) for chunks in split]
-        return [b"".join(map(self.__getitem__, chunks)) for chunks in split]
-
-
-_CACHES: dict[str, ChunkIds] = {}
+            yield text[at:end]
+            at = end
+        yield text[at:]
+
+
+#: A run of Latin letters in UTF-8, and one full stop or comma at most.
+_PLAIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").fullmatch
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """The encoder of this worker, which serves one task after another."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
+def _splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer file has the properties that Encoder relies on."""
+    normal, before, model = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = [n.get("type") for n in normal.get("normalizers", [])]
+    blanks = next((n for n in normal.get("normalizers", []) if n.get("type") == "Replace"), {})
+    splits = before.get("pretokenizers", [])
+    return (
+        steps == ["NFC", "Replace", "Lowercase"]
+        and (blanks.get("pattern"), blanks.get("content")) == ({"Regex": r"\s+"}, " ")
+        and [s.get("type") for s in splits] == ["Split", "ByteLevel"]
+        and (splits[0].get("pattern"), splits[0].get("behavior"), splits[0].get("invert")) == ({"Regex": _SPLIT}, "Removed", True)
+        and (splits[1].get("add_prefix_space"), splits[1].get("use_regex")) == (False, False)
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == "</w>"
+        and not model.get("dropout")
+        and not model.get("ignore_merges")
+        and not spec.get("post_processor")
+        and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec.get("added_tokens", []))
+    )
 
 
-def _cache(path: str) -> ChunkIds:
-    """The cache of this worker, which serves one task after another."""
-    if path not in _CACHES:
-        _CACHES[path] = ChunkIds(path)
-    return _CACHES[path]
+# Fixed value: the split pattern of tokenizers that keep letter runs whole and drop white space.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _pieces(path: str, capacity: int, end: bytes, with_ids: bool):
     def run(it):
-        cache, chunk, ranks = _cache(path), partition_id(), {}
+        encoder, chunk, ranks = _encoder(path), partition_id(), {}
         for batch in it:
             doc_ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for i, raw in enumerate(raw for lo, hi in blocks(texts) for raw in cache.ids(texts[lo:hi])):
+            texts = [t or b"" for t in text_bytes(batch.column(1))]
+            for i, raw in enumerate(raw for lo, hi in blocks(texts) for raw in encoder.ids(texts[lo:hi])):
                 raw += end
                 for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
@@ -289,9 +375,9 @@ def pack(
     # Rows of a chunk are numbered; a chunk's first rank among all of its length is a sum over chunks.
     counts = pieces.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    counts = cut(counts.select("length", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
+    counts = counts.select("length", "chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # At most ``capacity`` rows.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = best_fit_decreasing(histogram, capacity)
     ranked = pieces.join(counts.select("length", "chunk", "base"), ["length", "chunk"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"), "ids")
