@@ -34,8 +34,8 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; it goes when the driver ends.
+def shared_dir(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder below ``spark.checkpoint.dir``; it goes when the driver ends, if not told to ``keep``.
 
     Where that setting is absent, a temporary folder of this machine stands in
     for it if all of Spark runs in this process; on a cluster that is an error.
@@ -46,7 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         base = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
     path = f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    if not keep:
+        atexit.register(_drop, spark, path)
     return path
 
 
@@ -83,14 +84,14 @@ class Tables:
         path = shared_dir(self.spark)
         out = cut(df, path)
         self.paths[id(out)] = path, out
+        # Spark's cleaner deletes a plan's shuffle files when the driver has collected the plan.
+        self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later plan reads, and the shuffle files of plans that have run."""
+        """Delete tables that no later plan reads."""
         for t in tables:
             drop(self.spark, self.paths.pop(id(t))[0])
-        # The context cleaner deletes shuffle files when the driver has collected the plans that wrote them.
-        self.spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(col: pa.Array) -> list:
