@@ -9,6 +9,7 @@ the executors, which score a block of texts at once with numpy.
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from tracewell.llm.common import blocks, mix64, prepare
 BUCKETS, ORDERS, MAX_LANGS = 1 << 15, (1, 2, 3, 4), 1000
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
-_WORDS = re.compile(r"[^\W\d_]+")
+# What \w takes besides letters, decimal digits and "_" are numbers such as a half or a Roman eight.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
+_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def _grams(texts: list[str], orders: tuple[int, ...], buckets: int):
@@ -103,12 +106,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
     spark = docs.sparkSession
     prepare(spark)
     base = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    if base.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     counts = base.mapInArrow(_counts(orders, buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for r in counts.toArrow().to_pylist():
-        if r["lang"] not in sums and len(sums) >= MAX_LANGS:
-            raise ValueError(f"more than {MAX_LANGS} languages")
         total = sums.setdefault(r["lang"], np.zeros(buckets))
         if r["bucket"] < 0:
             seen[r["lang"]] = r["n"]
