@@ -228,11 +228,12 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
 
     Columns: doc_id, n_bytes, digest, shard, offset, length, width, height,
     payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature. ``root`` is a URI that all executors reach (default: a folder below
-    spark.checkpoint.dir). Equal texts have equal values; a null text counts as
-    empty, a repeated row is returned again, an empty table gives no rows.
+    feature. ``root`` is a URI that all executors reach (default: a new folder
+    below spark.checkpoint.dir, which stays when the driver ends, as the rows name
+    its shards). Equal texts have equal values; a null text counts as empty, a
+    repeated row is returned again, an empty table gives no rows.
     """
-    root = root or f"{shared_dir(docs.sparkSession)}/shards"
+    root = root or f"{shared_dir(docs.sparkSession, keep=True)}/shards"
     rows = write_shards(docs, root, id_col, text_col, limit)
     spots = places(rows)
     # Members of a shard are read together; a shard is bounded by ``limit``.
@@ -249,6 +250,19 @@ def media_columns(docs: DataFrame, root: str | None = None, id_col: str = "doc_i
     )
 
 
+def drop_orphans(rows: DataFrame, root: str) -> int:
+    """Delete the shards below ``root`` that no row names, as failed attempts leave them; returns their number.
+
+    Only names come to the driver, one for each SHARD_BYTES of media.
+    """
+    fs, d = _store(root)
+    named = {r["shard"] for r in rows.select("shard").distinct().toLocalIterator()}
+    found = [f for f in fs.get_file_info(pafs.FileSelector(d)) if f.is_file and f.base_name.startswith("shard-") and f.base_name not in named]
+    for f in found:
+        fs.delete_file(f.path)
+    return len(found)
+
+
 def extract(root: str, shard: str) -> dict[str, bytes]:
     """All members of a shard by name, through the standard tar reader."""
     fs, d = _store(root)

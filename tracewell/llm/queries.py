@@ -55,7 +55,7 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(_table(spark, sf_dir, "documents")).drop("shard", "offset", "digest", "length")
+    return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
