@@ -407,3 +407,57 @@ def test_surrogates_are_distinct_and_never_entities(spark):
     got = pii.dictionary(units.where("canonical < '4000'"), "k").collect()
     new = [r["surrogate"] for r in got]
     assert len(got) == 4000 == len(set(new)) and all(x >= "4000" for x in new)
+
+
+def test_open_starts_leave_out_only_runs_that_one_document_explains():
+    # 25 seeds each four words: one document at one distance explains all runs of 50 words
+    pos = np.arange(0, 100, 4)
+    before, after = np.append(-1, pos[:-1]), np.append(pos[1:], 101)
+    assert not len(passages.open_starts(pos, before, after, np.zeros(25, np.int64), pos + 7, 4, 50))
+    # a change of document in the middle opens the runs that hold two seeds and more of both sides
+    lo = np.repeat([5, 6], [12, 13])
+    got = passages.open_starts(pos, before, after, lo, pos + 7, 4, 50).tolist()
+    assert got == [s for s in range(55) if ((pos >= s) & (pos < 48)).sum() > 1 and ((pos >= 48) & (pos <= s + 46)).sum() > 1]
+    # so does a change of distance, and no run holds a seed that is not shared
+    assert passages.open_starts(pos, before, after, lo * 0, pos + lo, 4, 50).tolist() == got
+    before[12] = after[11] = 46
+    assert passages.open_starts(pos, before, after, np.arange(25), pos, 4, 51).min() == 47
+
+
+def test_language_needs_letters_and_equals_plain_naive_bayes(spark):
+    rows = [(1, "ab ba", "x"), (2, "ba bb", "x"), (3, "cd dc Cd", "y"), (4, "ab", None), (5, None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang_id.fit(df)
+    odd = ["½ ² ①", "Ⅷ", "٣ 12_", "ª", "Ab dc", "dd"]
+    got = lang_id.identify(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), model, {"doc_id": F.col("doc_id")}).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert [by[i]["lang_pred"] for i in range(4)] == ["und", "und", "und", by[3]["lang_pred"]] and by[3]["lang_pred"] != "und"
+
+    def grams(t):
+        t = f" {t.lower()} "
+        return [t[i : i + n] for n in lang_id.ORDERS for i in range(len(t) - n + 1)]
+
+    counts = {"x": Counter(g for t in ("ab ba", "ba bb") for g in grams(t)), "y": Counter(grams("cd dc Cd"))}
+    for i in (4, 5):
+        joint = []
+        for lang, prior in (("x", 2 / 3), ("y", 1 / 3)):
+            c, n = counts[lang], sum(counts[lang].values())
+            joint.append(math.log(prior) + sum(math.log((c[g] + 0.5) / (n + 0.5 * lang_id.BUCKETS)) for g in grams(odd[i])))
+        best = max(joint)
+        assert by[i]["lang_pred"] == "xy"[joint.index(best)]
+        assert abs(by[i]["score"] - 1 / sum(math.exp(v - best) for v in joint)) < 1e-6
+
+
+def test_quality_fit_with_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1, "Good text, this is."), (2, "$$$ WIN !!!")] + [(1, "Good text, this is.")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.rate(docs, quality.fit(docs, labels, F.lit(True)), {"doc_id": F.col("doc_id")}).where("doc_id = 1 and predicted = 1").count() == 51
+
+
+def test_media_orphans_go(spark, tmp_path):
+    df = spark.createDataFrame([(1, "abc"), (2, "d")], "doc_id long, text string")
+    root = f"file://{tmp_path}/shards"
+    rows = media.write_shards(df, root)
+    (tmp_path / "shards" / "shard-000000-lost-0000.tar").write_bytes(b"x")
+    assert media.drop_orphans(rows, root) == 1 and media.drop_orphans(rows, root) == 0
+    assert media.header_columns(media.places(rows), root).count() == 2

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.llm import common, components, embed_dedup, near_dedup
 from tracewell.llm.queries import op4_minhash_near_dedup
@@ -147,3 +148,27 @@ def test_vectors_equal_brute_force(spark):
     null = spark.createDataFrame([(None, [1.0], 1), (3, [1.0], 1)], df.schema)
     assert {tuple(r) for r in embed_dedup.near_vectors(null).collect()} == {(None, 0, None, False), (3, 0, 3, True)}
     assert embed_dedup.near_vectors(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_vectors_with_repeated_ids_and_labels_of_any_type(spark, kind):
+    v = [[1.0, 0.0, 0.01 * i] for i in range(4)]
+    label = {"string": lambda x: f"l{x}", "double": lambda x: x + 0.5}[kind]
+    rows = [(1, v[0], label(0)), (1, v[1], label(0)), (2, v[2], label(0)), (2, v[2], label(0)), (3, v[3], label(1)), (9, v[0], None)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").repartition(3)
+    got = sorted(tuple(r) for r in embed_dedup.near_vectors(df).collect())
+    assert got == [(1, 3, 1, True)] * 2 + [(2, 3, 1, False)] * 2 + [(3, 0, 3, True), (9, 0, 9, True)]
+    if kind == "double":
+        near = df.withColumn("label", F.when(F.col("vec_id") == 3, 0.7).otherwise(F.col("label")))
+        assert {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(near).collect()}[3] == 0
+
+
+def test_vectors_at_a_lower_threshold(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((12, 32))
+    x = np.repeat(base, 12, 0) + rng.standard_normal((144, 32)) * 0.42
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.8).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_vectors(df, least=0.8).collect()}
+    assert links.sum() > 300 and [got[i] for i in range(len(x))] == links.tolist()
