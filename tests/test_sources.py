@@ -51,3 +51,26 @@ def test_page_rows_with_recognition(spark):
 def test_html_is_escaped(spark):
     d = spark.createDataFrame([("f", ["a<b"], ["p & q"], [])], "filepath string, headings array<string>, paragraphs array<string>, tables array<struct<cell_text:array<array<string>>>>")
     assert files.render_html(d).first()["html"] == "<h2>a&lt;b</h2><p>p &amp; q</p>"
+
+
+def test_word_files_are_rendered_in_order_with_runs_and_merged_cells(spark, tmp_path):
+    import zipfile
+
+    from tracewell.sources import files
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    p = lambda text, style="": f'<w:p>{f"""<w:pPr><w:pStyle w:val="{style}"/></w:pPr>""" if style else ""}<w:r>{text}</w:r></w:p>'
+    t = lambda x: f"<w:t>{x}</w:t>"
+    cell = lambda x, more="": f"<w:tc><w:tcPr>{more}</w:tcPr>{p(t(x))}</w:tc>"
+    table = "<w:tbl><w:tr>" + cell("a", '<w:gridSpan w:val="2"/>') + "</w:tr><w:tr>" + cell("b") + cell("c") + "</w:tr><w:tr>" + cell("", "<w:vMerge/>") + cell("d") + "</w:tr></w:tbl>"
+    body = p(t("Top"), "Heading1") + p(t("x") + "<w:tab/>" + t("y") + "<w:br/>" + t("z")) + p(t("Sub"), "Heading2") + p(t("- item")) + table
+    styles = "".join(f'<w:style w:styleId="Heading{i}"><w:name w:val="heading {i}"/></w:style>' for i in (1, 2))
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}>{styles}</w:styles>")
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    got = {r["filepath"].rsplit("/", 1)[1]: r["html"] for r in files.render_files(files.scan(spark, str(tmp_path))).collect()}
+    assert got["broken.docx"] == "<p>[Unreadable Document: broken.docx]</p>"
+    assert got["d.docx"].split("\n", 1)[0] == "<h1>Top</h1>" and "<p>x\ty\nz</p>\n<h2>Sub</h2>\n<p>- item</p>\n" in got["d.docx"]
+    rows = [["a", "a"], ["b", "c"], ["b", "d"]]
+    assert files.docx_documents(files.scan(spark, str(tmp_path))).where("filename = 'd.docx'").first()["tables"][0]["cell_text"] == rows

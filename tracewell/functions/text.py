@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, which is wider than Java's plain \\s.
 SPACE = r"(?U)\s+"
+# How list items begin.
 _BULLETS = ("- ", "* ", "• ", "1.", "2.", "3.", "(a)", "(1)")
 
 
@@ -116,11 +117,29 @@ def assemble_text(headers: Column, body: Column, cells: Column, footers: Column)
     return F.array_join(F.concat(headers, body, F.filter(cells, lambda c: F.length(c) > 0), footers), "\n\n")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number >= 0 with one decimal, rounded by its exact binary value, halves to even.
+
+    Java rounds the shortest decimal form, halves up. Here twenty times the
+    number is taken exactly, as a sum of two doubles and its rounding error, and
+    compared with the odd number that marks the half.
+    """
+    x = x.cast("double")
+    a, b = x * 16.0, x * 4.0
+    total = a + b
+    lost = (a - (total - (total - a))) + (b - (total - a))
+    tenths = F.floor(x * 10.0)
+    beyond = (total - (tenths * 2 + 1).cast("double")) + lost
+    up = (beyond > 0) | ((beyond == 0) & (tenths % 2 == 1))
+    rounded = tenths + F.when(up, 1).otherwise(0)
+    return F.when(x.isNotNull(), F.concat(F.floor(rounded / 10).cast("string"), F.lit("."), (rounded % 10).cast("string")))
+
+
 def file_size_label(n: Column) -> Column:
     out = F.when(n <= 0, F.lit("0 B"))
     for i, unit in enumerate(("B", "KB", "MB", "GB")):
-        out = out.when(n < 1024 ** (i + 1), F.format_string(f"%.1f {unit}", n / float(1024**i)))
-    return out.otherwise(F.format_string("%.1f TB", n / float(1024**4)))
+        out = out.when(n < 1024 ** (i + 1), F.concat(one_decimal(n / float(1024**i)), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(one_decimal(n / float(1024**4)), F.lit(" TB")))
 
 
 def content_hash(content: Column) -> Column:
@@ -141,10 +160,19 @@ def fingerprint(full_text: Column, headings: Column, paragraphs: Column, lists:
 
 
 def canonical_path(p: Column) -> Column:
-    """A long-path prefix stripped, doubled separators and '.' steps removed."""
+    """A path without long-path prefix, doubled separators, '.' and '..' steps; null stays null."""
     p = F.regexp_replace(p, r"^\\\\\?\\", "")
-    p = F.regexp_replace(F.regexp_replace(p, r"/(\./)+", "/"), "/{2,}", "/")
-    return F.when(p == "/", p).otherwise(F.regexp_replace(p, "/$", ""))
+    root = F.when(p.startswith("/"), F.lit("/")).otherwise(F.lit(""))
+
+    def step(done: Column, s: Column) -> Column:
+        up = (s == "..") & (F.size(done) > 0) & (F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")) != "..")
+        # '..' at the root stays there, at the start of a relative path it is kept
+        keep = ~s.isin("", ".") & ~((s == "..") & (root == "/"))
+        return F.when(up, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(keep, F.concat(done, F.array(s))).otherwise(done)
+
+    parts = F.aggregate(F.split(p, "/"), F.array().cast("array<string>"), step)
+    out = F.concat(root, F.array_join(parts, "/"))
+    return F.when(p == "", p).when(out == "", F.lit(".")).otherwise(out)
 
 
 def unreadable(name: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -58,12 +60,77 @@ def tfidf_scores(queries: DataFrame, corpus: DataFrame, query_key: str = "query_
     return pair.join(norms, doc_key).select(query_key, doc_key, score.alias("semantic"))
 
 
+def pair_tfidf(pairs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, doc_id, semantic) of pairs with texts a and b, TF-IDF fitted on the two texts alone.
+
+    An empty text gives 0, equal texts 100, two texts without terms 0. A term of one text has
+    document frequency 1 of 2, a common one 2 of 2.
+    """
+    ids = ["query_id", "doc_id"]
+    base = pairs.select(*ids, F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
+    sides = base.select(*ids, F.posexplode(F.array(terms(F.col("a"), stop_words), terms(F.col("b"), stop_words))).alias("side", "found"))
+    tf = sides.select(*ids, "side", F.explode("found").alias("term")).groupBy(*ids, "term").agg(
+        F.count_if(F.col("side") == 0).alias("x"), F.count_if(F.col("side") == 1).alias("y")
+    )
+    w = F.when((F.col("x") > 0) & (F.col("y") > 0), 1.0).otherwise(math.log(1.5) + 1)
+    sums = tf.groupBy(*ids).agg(*[F.sum(e).alias(n) for n, e in (("xy", F.col("x") * F.col("y")), ("xx", F.pow(F.col("x") * w, 2)), ("yy", F.pow(F.col("y") * w, 2)))])
+    score = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.lit(100.0) * F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
+    empty, same = (F.length("a") == 0) | (F.length("b") == 0), F.col("a") == F.col("b")
+    out = base.join(sums, ids, "left").select(*ids, F.when(empty, 0.0).when(same, 100.0).otherwise(F.coalesce(score, F.lit(0.0))).alias("semantic"))
+    return out
+
+
+#: Query vectors that one block holds.
+QUERY_BLOCK = 512
+
+
+def _block_top(k: int):
+    """The k best vectors of a batch for each query of a block, by one matrix product."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids = np.array(batch.column("doc_id").to_pylist())
+            vectors = batch.column("dv").to_pylist()
+            blocks: dict[bytes, list[int]] = {}
+            for i, b in enumerate(batch.column("block").to_pylist()):
+                blocks.setdefault(b, []).append(i)
+            out: list[list] = [[], [], []]
+            for _, mine in sorted(blocks.items()):
+                queries = batch.column("queries")[mine[0]].as_py()
+                for dim in sorted({len(q["qv"]) for q in queries}):
+                    some = [i for i in mine if vectors[i] is not None and len(vectors[i]) == dim]
+                    asked = [q for q in queries if len(q["qv"]) == dim]
+                    if not some or not dim:
+                        continue
+                    x, y = np.array([q["qv"] for q in asked], float), np.array([vectors[i] for i in some], float)
+                    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+                    score = 100.0 * (x @ y.T) / (np.where(nx == 0, 1.0, nx)[:, None] * np.where(ny == 0, 1e-9, ny)[None, :])
+                    score = np.where(nx[:, None] == 0, 0.0, score.clip(0.0, 100.0))
+                    found = ids[some]
+                    for q, row in zip(asked, score, strict=True):
+                        order = np.lexsort((found, -row))
+                        order = order[found[order] != q["query_id"]][:k]
+                        out[0] += [q["query_id"]] * len(order)
+                        out[1] += found[order].tolist()
+                        out[2] += row[order].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
+
+    return run
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """The k corpus vectors of the largest cosine for each query vector."""
-    q = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("qv"))
-    d = corpus.select(F.col(doc_key).alias("doc_id"), F.col(vector).alias("dv"))
-    pairs = q.crossJoin(d).where("query_id <> doc_id").select("query_id", "doc_id", cosine(F.col("qv"), F.col("dv")).alias("score"))
-    return top_k(pairs, k)
+    """The k corpus vectors of the largest cosine for each query vector.
+
+    Queries are a stated set; they are taken in blocks of QUERY_BLOCK vectors, and each
+    batch of the corpus meets a block in one matrix product and keeps k rows a query.
+    """
+    prepare(corpus.sparkSession)
+    q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("qv")).where("qv is not null")
+    n = F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy()) / QUERY_BLOCK))
+    blocks = q.withColumn("block", F.pmod(F.xxhash64("query_id"), n)).groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("queries"))
+    d = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("dv")).where("dv is not null")
+    met = d.crossJoin(blocks).select("block", "queries", "doc_id", "dv")
+    return top_k(met.mapInArrow(_block_top(k), "query_id long, doc_id long, score double"), k)
 
 
 def top_k(pairs: DataFrame, k: int, score: str = "score") -> DataFrame:

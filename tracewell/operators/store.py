@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.constants import INDEX_VERSION
+from tracewell.tables import cut
 
 
 def join_index(index: DataFrame, features: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -109,5 +110,15 @@ def set_index_version(meta: DataFrame, version: int) -> DataFrame:
 
 
 def positions(docs: DataFrame) -> DataFrame:
-    """The corpus order: latest first, then by path (for reports; ranks all rows)."""
-    return docs.withColumn("pos", F.row_number().over(W.orderBy(F.desc("last_modified"), "filepath")))
+    """The corpus order as ``pos`` from 1: latest first, then by path (for reports; ranks all rows).
+
+    A range-partitioned sort numbers the rows of each partition; the sizes of
+    the partitions before it, one row each, are all that one task adds up.
+    """
+    placed = cut(docs.orderBy(F.desc("last_modified"), "filepath").withColumn("__at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__at", 33).alias("__part"), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))
+    out = placed.withColumn("__part", part).join(sizes, "__part")
+    return out.withColumn("pos", (F.col("__before") + row + 1).cast("long")).drop("__part", "__at", "__before")

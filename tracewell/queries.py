@@ -12,9 +12,9 @@ from tracewell.functions import scores as S
 from tracewell.functions import text as T
 from tracewell.operators import store
 from tracewell.operators.retrieve import keyword_top_k, retrieve
-from tracewell.operators.semantic import tfidf_scores, vector_top_k
+from tracewell.operators.semantic import pair_tfidf, tfidf_scores, vector_top_k
 from tracewell.plans import search as P
-from tracewell.sources import testdata as D
+from tracewell.sources import files, testdata as D
 from tracewell.workers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +356,307 @@ def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.summary(deep_compare(spark, sf_dir))
+
+
+# --- Operators over rows that are derived from the given tables -----------------------------
+
+# Starts and style names that the classes depend on.
+_STARTS = ("", "- ", "* ", "• ", "1. ", "2) ", "(a) ", "(1) ", "9: ", "A")
+_STYLES = ("Heading 1", "Title", "heading 2", "List Bullet", "Normal", None, "Subtitle", "Heading 3")
+
+
+def _sql_list(values: tuple) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as blocks: text with a start, font size, weight and style by place."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    n = F.col("conv_id") * 7 + F.col("turn")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values) + 1).cast("int"))
+    text = F.when(n % 11 == 3, F.lit(" \n ")).otherwise(F.concat(pick(_STARTS), F.substring("text", 1, 60)))
+    return c.select("conv_id", "turn", "role", text.alias("text"), pick(_STYLES).alias("style"), (F.lit(9.0) + n % 6).alias("font"), (n % 3 == 0).alias("bold"))
+
+
+_TURNS = f"""SELECT conv_id, turn, role, n, CASE WHEN n % 11 = 3 THEN ' ' || chr(10) || ' ' ELSE {_sql_list(_STARTS)}[n % {len(_STARTS)} + 1] || substring(text, 1, 60) END AS text,
+  {_sql_list(_STYLES)}[n % {len(_STYLES)} + 1] AS style, 9.0 + n % 6 AS font, n % 3 = 0 AS bold FROM (SELECT *, conv_id * 7 + turn AS n FROM conversations)"""
+_N_WORDS = f"len(list_filter(string_split_regex(text, '{_WS}+'), lambda w: w <> ''))"
+_BULLET = "(starts_with(text, '- ') OR starts_with(text, '* ') OR starts_with(text, '• '))"
+
+
+@query(
+    f"""SELECT conv_id, turn, CASE WHEN font >= 13 OR (bold AND {_N_WORDS} < 12) THEN 'heading'
+      WHEN {_BULLET} OR starts_with(text, '1.') OR starts_with(text, '2.') OR starts_with(text, '3.') OR starts_with(text, '(a)') OR starts_with(text, '(1)') THEN 'list' ELSE 'paragraph' END AS kind FROM ({_TURNS})"""
+)
+def block_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", T.classify_block(F.col("text"), F.col("font"), F.col("bold")).alias("kind"))
+
+
+_STYLED = f"""CASE WHEN trim(text, ' ' || chr(10) || chr(9)) = '' THEN 'blank' WHEN regexp_matches(lower(coalesce(style, '')), 'heading|title') THEN 'heading'
+  WHEN contains(lower(coalesce(style, '')), 'list') OR {_BULLET} OR (length(text) > 2 AND regexp_matches(text, '^[0-9][.):]')) THEN 'list' ELSE 'paragraph' END"""
+
+
+@query(f"SELECT conv_id, turn, {_STYLED} AS kind FROM ({_TURNS})")
+def styled_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", T.classify_styled(F.col("text"), F.col("style")).alias("kind"))
+
+
+@query(
+    f"""SELECT conv_id, array_to_string(list_concat(list_concat(['H'], list(text ORDER BY turn)), list_concat(list_filter(list(CASE WHEN turn % 2 = 0 THEN role ELSE '' END ORDER BY turn), lambda c: c <> ''), ['F'])), chr(10) || chr(10)) AS full_text
+    FROM ({_TURNS}) GROUP BY conv_id"""
+)
+def assembled_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(""))
+    g = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", cell.alias("cell")))).alias("b"))
+    return g.select("conv_id", T.assemble_text(F.array(F.lit("H")), F.col("b.text"), F.col("b.cell"), F.array(F.lit("F"))).alias("full_text"))
+
+
+@query(
+    r"""SELECT page_id, CAST(greatest(1, len(regexp_extract_all(html, '(?s)<h1(?: [^>]*)?>(.*?)</h1>', 1)) + 1) AS INT) AS sections FROM pages"""
+)
+def section_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.page_documents(spark, sf_dir).select("page_id", T.section_count(F.col("headings")).alias("sections"))
+
+
+@query(
+    """SELECT conv_id, CAST(count(*) AS INT) AS n_rows, CAST(max(len(list_slice(string_split(text, ' '), 1, (turn + 2)))) AS INT) AS n_cols,
+      arg_min(array_to_string(list_transform(list_slice(string_split(text, ' '), 1, turn + 2), lambda c: trim(c, ' ' || chr(10) || chr(9))), '|'), turn) AS headers,
+      string_agg(nullif(array_to_string(list_filter(list_transform(list_slice(string_split(text, ' '), 1, turn + 2), lambda c: trim(c, ' ' || chr(10) || chr(9))), lambda c: c <> ''), ' '), ''), ' ' ORDER BY turn) AS flat_text
+    FROM conversations GROUP BY conv_id"""
+)
+def flat_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a table: a row for each turn, its first words as cells."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    row = F.slice(F.split("text", " "), F.lit(1), (F.col("turn") + 2).cast("int"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", row.alias("cells")))).alias("r"))
+    g = g.select("conv_id", T.flat_table(F.col("r.cells")).alias("t"))
+    return g.select("conv_id", F.col("t.rows").alias("n_rows"), F.col("t.cols").alias("n_cols"), F.array_join("t.headers", "|").alias("headers"), "t.flat_text")
+
+
+def _esc(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')"
+
+
+@query(
+    f"""SELECT conv_id, coalesce(string_agg(CASE WHEN t <> '' THEN '<' || tag || '>' || {_esc('t')} || '</' || tag || '>' END, chr(10) ORDER BY turn) || chr(10), '')
+        || '<table>' || string_agg('<tr>' || c.cell || '</tr>', '' ORDER BY turn) || '</table>' AS html
+    FROM (SELECT *, trim(text, ' ' || chr(10) || chr(9)) AS t, CASE WHEN regexp_matches(lower(coalesce(style, '')), 'heading 1|title') THEN 'h1' WHEN contains(lower(coalesce(style, '')), 'heading 2') THEN 'h2'
+        WHEN contains(lower(coalesce(style, '')), 'heading') THEN 'h3' ELSE 'p' END AS tag, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM ({_TURNS})),
+      LATERAL (SELECT CASE WHEN r = 1 THEN '<th>' || {_esc('role')} || '</th>' ELSE '<td>' || {_esc('role')} || '</td>' END AS cell) c GROUP BY conv_id"""
+)
+def rendered_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents with styles, and a table of their roles."""
+    g = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", "style", "role"))).alias("b"))
+    paragraphs = F.transform("b", lambda x: F.struct(x["text"].alias("text"), x["style"].alias("style")))
+    return g.select("conv_id", files.html_of(paragraphs, F.array(F.transform("b", lambda x: F.array(x["role"]))), F.lit(None)).alias("html"))
+
+
+@query("SELECT doc_id, '[Unreadable Document: ' || 'doc-' || doc_id || ']' AS full_text FROM documents")
+def unreadable_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", T.unreadable(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).alias("full_text"))
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/' || source || '/b/' || doc_id WHEN 1 THEN 'b/' || doc_id WHEN 2 THEN '/' || doc_id ELSE '../' || source END AS filepath FROM documents"""
+)
+def canonical_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    p = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("//"), F.col("source"), F.lit("/a/../b//./"), i, F.lit("/")))
+    p = p.when(F.col("doc_id") % 4 == 1, F.concat(F.lit("\\\\?\\./a/../b/"), i)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("/../../"), i))
+    return _docs(spark, sf_dir).select("doc_id", T.canonical_path(p.otherwise(F.concat(F.lit("x/../../"), F.col("source")))).alias("filepath"))
+
+
+@query(
+    f"""SELECT conv_id, p[k] || chr(10) || chr(10) || everything AS full_text, CAST(len(string_split(p[k], chr(10))) AS INT) AS n_paragraphs, h[k] AS heading,
+      array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(p[k]), '{_WS}+'), lambda w: w <> ''))), ' ') AS keywords, CAST(1 AS INT) AS page_count, CAST(0 AS INT) AS n_lists
+    FROM (SELECT conv_id, least(greatest(conv_id % 5, 1), len(p)) AS k, p, h, array_to_string(p, chr(10) || chr(10)) AS everything FROM (
+      SELECT conv_id, list(text ORDER BY turn) AS p, list(role ORDER BY turn) AS h FROM conversations GROUP BY conv_id))"""
+)
+def page_scope_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents rewritten to one of their pages; a page's heading is its role."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    none = F.array().cast(f"array<{D.TABLE}>")
+    page = F.struct((F.col("turn") + 1).cast("int").alias("page_num"), "text", F.array("role").alias("headings"), none.alias("tables"), F.lit(False).alias("is_scanned"))
+    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(page), lambda a, b: a["page_num"] - b["page_num"]).alias("pages"))
+    full = F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n")
+    s = T.page_scope(F.col("pages"), full, (F.col("conv_id") % 5).cast("int"))
+    g = g.select("conv_id", s.alias("s"))
+    return g.select(
+        "conv_id", "s.full_text", F.size("s.paragraphs").alias("n_paragraphs"), F.col("s.headings")[0].alias("heading"),
+        F.array_join("s.keywords", " ").alias("keywords"), "s.page_count", F.size("s.lists").alias("n_lists"),
+    )
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def deleted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    return store.delete(_docs(spark, sf_dir).select("doc_id", "n_chars"), gone, "doc_id")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def looked_up_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select(F.col("doc_id").alias("filepath"))
+    return store.lookup(_docs(spark, sf_dir).select(F.col("doc_id").alias("filepath"), "n_chars"), keys).select(F.col("filepath").alias("doc_id"), "n_chars")
+
+
+@query("SELECT CAST(max(n_chars) AS INT) AS stored, CAST(6 AS INT) AS updated, CAST(0 AS INT) AS missing, CAST(0 AS INT) AS unreadable FROM documents")
+def index_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index version read from key-value rows: stored, after an update, missing, and no number."""
+    top = _docs(spark, sf_dir).agg(F.max("n_chars").cast("string").alias("value"))
+    meta = top.select(F.lit("index_version").alias("key"), "value").unionByName(top.select(F.lit("other").alias("key"), "value"))
+    got = [
+        store.index_version(m).withColumnRenamed("index_version", n)
+        for n, m in (("stored", meta), ("updated", store.set_index_version(meta, C.INDEX_VERSION)), ("missing", meta.where("key = 'other'")), ("unreadable", meta.withColumn("value", F.lit("x1"))))
+    ]
+    return got[0].join(got[1]).join(got[2]).join(got[3])  # one row each
+
+
+@query(
+    """SELECT vec_id, greatest(1, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END) AS version, CASE WHEN vec_id % 3 = 0 AND vec_id % 2 = 0 THEN label + 100 ELSE label END AS embedding FROM embeddings"""
+)
+def sticky_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second version of every third row; where it has no value in the sticky column, the older one stays."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.lit(1).alias("version"), F.col("label").alias("embedding"))
+    new = e.where("vec_id % 3 = 0").withColumn("version", F.lit(2)).withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.col("embedding") + 100))
+    return store.upsert(e, new, "vec_id", ["version"])
+
+
+@query(
+    """SELECT doc_id, h AS file_hash FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY coalesce(h, '') ORDER BY n_chars // 500 DESC, doc_id % 5 DESC, doc_id) AS r FROM (
+      SELECT doc_id, n_chars, CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 31 = 0 THEN '' ELSE 'h' || (n_chars % 97) END AS h FROM documents)) WHERE r = 1"""
+)
+def longest_of_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keep-longest rule with ties of length and time, and with null hashes."""
+    h = F.when(F.col("doc_id") % 29 == 0, F.lit(None)).when(F.col("doc_id") % 31 == 0, F.lit("")).otherwise(F.concat(F.lit("h"), (F.col("n_chars") % 97).cast("string")))
+    text = F.repeat(F.lit("x"), F.floor(F.col("n_chars") / 500).cast("int"))
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("filepath"), h.alias("file_hash"), text.alias("full_text"), (F.col("doc_id") % 5).alias("last_modified"))
+    return store.keep_longest(d).select(F.col("filepath").alias("doc_id"), "file_hash")
+
+
+@query(
+    """SELECT s.doc_id, CASE WHEN i.doc_id IS NULL THEN 'insert' WHEN s.n % 3 = 0 THEN 'update' WHEN s.n % 2 = 0 OR s.n % 5 <> 0 THEN 'skip' ELSE 'update' END AS action
+    FROM (SELECT doc_id, doc_id AS n FROM documents) s LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) i USING (doc_id)"""
+)
+def index_plan_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planning by time (every third differs), then size (odd ones differ), then hash (every fifth differs)."""
+    n = F.col("doc_id")
+    d = _docs(spark, sf_dir).select(n.alias("filepath"), F.col("n_chars").alias("file_size"), n.cast("double").alias("last_modified"), F.lit("same").alias("file_hash"))
+    n = F.col("filepath")
+    old = d.where("filepath % 7 <> 0").select(
+        "filepath", (F.col("file_size") + n % 2).alias("file_size"), (F.col("last_modified") + F.when(n % 3 == 0, 1.0).otherwise(0.5)).alias("last_modified"),
+        F.when(n % 5 == 0, F.lit("old")).otherwise(F.lit("same")).alias("file_hash"),
+    )
+    return store.plan_index(d, old).select(F.col("filepath").alias("doc_id"), "action")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'insert' ELSE 'update' END AS action FROM documents")
+def forced_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of an older version: all its documents are updated, unchanged ones too."""
+    d = _docs(spark, sf_dir).select(F.col("doc_id").alias("filepath"), F.col("n_chars").alias("file_size"), F.lit(1.0).alias("last_modified"), F.lit("h").alias("file_hash"))
+    return store.plan_index(d, d.where("filepath % 7 <> 0"), stored_version=C.INDEX_VERSION - 1).select(F.col("filepath").alias("doc_id"), "action")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars % 50 DESC, CAST(doc_id AS VARCHAR)) AS pos FROM documents")
+def corpus_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("doc_id", F.col("doc_id").cast("string").alias("filepath"), (F.col("n_chars") % 50).alias("last_modified"))
+    return store.positions(d).select("doc_id", "pos")
+
+
+_MATCHES = """SELECT doc_id % 40 AS query_id, doc_id, doc_id AS rank, 'f' || doc_id AS filename, (n_chars * 37 % 10001) / 100.0::DOUBLE AS overall_score, (n_chars * 53 % 10001) / 100.0::DOUBLE AS confidence_score,
+  (n_chars % 5)::DOUBLE AS content_score, (n_chars % 3)::DOUBLE AS structure_score, n_chars % 4 = 0 AND doc_id % 40 <> 3 OR doc_id % 40 = 5 AS rejected, n_chars % 9 = 0 AS verified_source,
+  CASE WHEN n_chars % 9 = 0 THEN 'best page' ELSE '' END AS match_basis, (n_chars * 3 % 101)::DOUBLE AS front_coverage FROM documents"""
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as compared candidates of forty queries, with made-up scores; one query has rejected ones only."""
+    n, q = F.col("n_chars"), F.col("doc_id") % 40
+    verified = n % 9 == 0
+    return _docs(spark, sf_dir).select(
+        q.alias("query_id"), "doc_id", F.col("doc_id").alias("rank"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("filename"),
+        (n * 37 % 10001 / 100.0).alias("overall_score"), (n * 53 % 10001 / 100.0).alias("confidence_score"), (n % 5).cast("double").alias("content_score"),
+        (n % 3).cast("double").alias("structure_score"), (((n % 4 == 0) & (q != 3)) | (q == 5)).alias("rejected"), verified.alias("verified_source"),
+        F.when(verified, F.lit("best page")).otherwise(F.lit("")).alias("match_basis"), (n * 3 % 101).cast("double").alias("front_coverage"),
+    )
+
+
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rejected, overall_score DESC, CASE WHEN rejected THEN 0 ELSE content_score END DESC, CASE WHEN rejected THEN 0 ELSE structure_score END DESC, rank) AS position FROM ({_MATCHES})"""
+_BEST = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overall_score DESC, position) AS place FROM (SELECT *, bool_or(NOT rejected) OVER (PARTITION BY query_id) AS ok FROM ({_RANKED})) WHERE NOT rejected OR NOT ok"""
+
+
+@query(f"SELECT query_id, doc_id, CAST(position AS INT) AS position FROM ({_RANKED})")
+def ranked_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.ranked(_matches(spark, sf_dir)).select("query_id", "doc_id", "position")
+
+
+@query(f"SELECT query_id, doc_id, overall_score FROM ({_MATCHES}) WHERE NOT rejected AND (overall_score >= 70 OR verified_source)")
+def accepted_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.accepted(_matches(spark, sf_dir), 70.0).select("query_id", "doc_id", "overall_score")
+
+
+@query(f"SELECT query_id, doc_id FROM ({_MATCHES}) WHERE NOT rejected AND verified_source AND front_coverage >= 85")
+def front_page_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.accepted(_matches(spark, sf_dir), 70.0, front_page_only=True).select("query_id", "doc_id")
+
+
+@query(f"SELECT query_id, doc_id, CAST(place AS INT) AS place FROM ({_BEST}) WHERE place <= 5")
+def best_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.best(P.ranked(_matches(spark, sf_dir))).select("query_id", "doc_id", "place")
+
+
+@query(
+    f"""SELECT query_id, doc_id FROM (SELECT *, bool_or(overall_score >= 97) OVER (PARTITION BY query_id) AS high FROM ({_BEST}) WHERE place <= 20)
+    WHERE CASE WHEN high THEN overall_score >= 97 ELSE place <= 5 END"""
+)
+def shown_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.shown(P.best(P.ranked(_matches(spark, sf_dir)), 20), 97.0).select("query_id", "doc_id")
+
+
+@query(
+    f"""SELECT query_id, doc_id, printf('Match: %.1f%% | Confidence: %.1f%% | File: %s', overall_score, confidence_score, filename) || CASE WHEN verified_source THEN ' [VERIFIED SOURCE - ' || upper(match_basis) || ']' ELSE '' END AS line FROM ({_MATCHES})"""
+)
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.report(_matches(spark, sf_dir))
+
+
+@query(f"SELECT query_id, count(*) AS compared, count_if(rejected)::BIGINT AS n_rejected, count_if(verified_source)::BIGINT AS n_verified FROM ({_MATCHES}) GROUP BY query_id")
+def match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.summary(_matches(spark, sf_dir))
+
+
+@query(
+    f"""SELECT doc_id, CASE WHEN verified_source THEN 'PERFECT ORIGINAL SOURCE MATCH (Verified)' WHEN overall_score >= 95 THEN '95-99% Match (Near-Identical Document)'
+      WHEN overall_score >= 90 THEN '90-94% Match (Highly Similar Document)' ELSE 'Standard Match' END AS category FROM ({_MATCHES})"""
+)
+def match_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("doc_id", S.match_category(F.col("overall_score"), F.col("verified_source")).alias("category"))
+
+
+_PARTS = (("text", 0.35, 1), ("paragraphs", 0.25, 2), ("headings", 0.2, 3), ("tables", 0.1, 5), ("lists", 0.05, 7), ("headers_footers", 0.05, 11), ("front_page", 0.15, 1))
+
+
+@query(
+    "SELECT doc_id, round((" + " + ".join(f"CASE WHEN doc_id % {m} = 0 THEN (n_chars % {90 + i}) * {w} ELSE 0 END" for i, (_, w, m) in enumerate(_PARTS))
+    + ")::DOUBLE / (" + " + ".join(f"CASE WHEN doc_id % {m} = 0 THEN {w} ELSE 0 END" for _, w, m in _PARTS) + ")::DOUBLE, 6) AS content FROM documents"
+)
+def content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The renormalised mean over all seven parts, each of which some documents lack."""
+    parts = {p: (F.col("n_chars") % (90 + i)).cast("double") for i, (p, _, _) in enumerate(_PARTS)}
+    on = {p: F.col("doc_id") % m == 0 for p, _, m in _PARTS if m > 1}
+    return _docs(spark, sf_dir).select("doc_id", F.round(S.content_score(parts, on), 6).alias("content"))
+
+
+@query(
+    r"""WITH p AS (SELECT item_id AS query_id, doc_id, coalesce(b.text, '') AS a, coalesce(d.text, '') AS b FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+    t AS (SELECT query_id, doc_id, 0 AS side, unnest(regexp_extract_all(lower(substring(a, 1, 4000)), '[\p{L}\p{N}_]{2,}')) AS term FROM p
+      UNION ALL SELECT query_id, doc_id, 1, unnest(regexp_extract_all(lower(substring(b, 1, 4000)), '[\p{L}\p{N}_]{2,}')) FROM p),
+    c AS (SELECT query_id, doc_id, term, count_if(side = 0) AS x, count_if(side = 1) AS y FROM t GROUP BY ALL),
+    w AS (SELECT *, CASE WHEN x > 0 AND y > 0 THEN 1.0::DOUBLE ELSE ln(1.5::DOUBLE) + 1 END AS w FROM c),
+    s AS (SELECT query_id, doc_id, sum(x * y) AS xy, sum((x * w) ** 2) AS xx, sum((y * w) ** 2) AS yy FROM w GROUP BY ALL)
+    SELECT p.query_id, p.doc_id, round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 100 WHEN xx > 0 AND yy > 0 THEN 100.0 * xy / sqrt(xx * yy) ELSE 0 END::DOUBLE, 4) AS semantic
+    FROM p LEFT JOIN s USING (query_id, doc_id)"""
+)
+def pair_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TF-IDF similarity fitted on each pair alone; a passage is paired with every fortieth document."""
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("a"), (F.col("item_id") % 40).alias("k"))
+    d = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("b"), (F.col("doc_id") % 40).alias("k"))
+    return pair_tfidf(b.join(d, "k")).select("query_id", "doc_id", F.round("semantic", 4).alias("semantic"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.constants import EXTENSIONS, LOCK_PREFIX
@@ -44,12 +44,29 @@ def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     )
 
 
+#: What elements of a run stand for.
+_MARKS = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+
+
 def _text(node: ET.Element) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{_W}t"))
+    """The text of a paragraph's runs, tabs and breaks included; tab stops of its style are none."""
+    runs = (e for r in node.iter(f"{_W}r") for e in r)
+    return "".join((e.text or "") if e.tag == f"{_W}t" else _MARKS.get(e.tag, "") for e in runs)
 
 
 def _table(node: ET.Element) -> list[list[str]]:
-    return [[" ".join(filter(None, map(_text, cell.findall(f"{_W}p")))).strip() for cell in row.findall(f"{_W}tc")] for row in node.findall(f"{_W}tr")]
+    """Rows of cell texts; a cell over several columns or rows stands in each of them."""
+    out: list[list[str]] = []
+    for row in node.findall(f"{_W}tr"):
+        cells: list[str] = []
+        for cell in row.findall(f"{_W}tc"):
+            span, merge = cell.find(f"{_W}tcPr/{_W}gridSpan"), cell.find(f"{_W}tcPr/{_W}vMerge")
+            text = "\n".join(map(_text, cell.findall(f"{_W}p"))).strip()
+            if merge is not None and merge.get(f"{_W}val", "continue") == "continue" and out and len(cells) < len(out[-1]):
+                text = out[-1][len(cells)]
+            cells += [text] * (int(span.get(f"{_W}val")) if span is not None else 1)
+        out.append(cells)
+    return out
 
 
 def read_docx(content: bytes) -> dict:
@@ -155,23 +172,54 @@ def page_documents(blocks: DataFrame, ocr: Callable[[bytes], str] | None = None)
     )
 
 
+def _escape(x: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+def _tagged(name: Column, x: Column) -> Column:
+    return F.concat(F.lit("<"), name, F.lit(">"), _escape(x), F.lit("</"), name, F.lit(">"))
+
+
+def html_of(paragraphs: Column, cells: Column, full_text: Column) -> Column:
+    """A document as HTML: paragraphs in order, each heading by its level, then tables.
+
+    ``paragraphs`` are structs of text and style, ``cells`` tables of rows of cells,
+    the first row a head. Without either the lines of the text are paragraphs.
+    """
+    def tag(style: Column) -> Column:
+        s = F.lower(F.coalesce(style, F.lit("")))
+        return F.when(s.contains("heading 1") | s.contains("title"), F.lit("h1")).when(s.contains("heading 2"), F.lit("h2")).when(s.contains("heading"), F.lit("h3")).otherwise(F.lit("p"))
+
+    def row(cells: Column, i: Column) -> Column:
+        kind = F.when(i == 0, F.lit("th")).otherwise(F.lit("td"))
+        return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: _tagged(kind, T.strip(c))), ""), F.lit("</tr>"))
+
+    body = F.transform(F.filter(paragraphs, lambda p: F.length(T.strip(p["text"])) > 0), lambda p: _tagged(tag(p["style"]), T.strip(p["text"])))
+    tables = F.transform(cells, lambda t: F.concat(F.lit("<table>"), F.array_join(F.transform(t, row), ""), F.lit("</table>")))
+    lines = F.filter(F.transform(F.split(F.coalesce(full_text, F.lit("")), "\n"), T.strip), lambda x: F.length(x) > 0)
+    plain = F.transform(lines, lambda x: _tagged(F.lit("p"), x))
+    chunks = F.concat(body, tables)
+    chunks = F.when(F.size(paragraphs) + F.size(cells) > 0, chunks).otherwise(plain)
+    return F.when(F.size(chunks) > 0, F.array_join(chunks, "\n")).otherwise(F.lit("<p>[No extractable content]</p>"))
+
+
 def render_html(docs: DataFrame) -> DataFrame:
-    """(filepath, html): headings, paragraphs and tables as escaped HTML."""
-    def esc(x):
-        out = x
-        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-            out = F.replace(out, F.lit(a), F.lit(b))
-        return out
-
-    def tag(name: str, items):
-        return F.array_join(F.transform(items, lambda x: F.concat(F.lit(f"<{name}>"), esc(x), F.lit(f"</{name}>"))), "")
-
-    def table(t):
-        rows = F.transform(t["cell_text"], lambda r: F.concat(F.lit("<tr>"), tag("td", r), F.lit("</tr>")))
-        return F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>"))
-
-    html = F.concat(tag("h2", F.col("headings")), tag("p", F.col("paragraphs")), F.array_join(F.transform("tables", table), ""))
-    return docs.select("filepath", html.alias("html"))
+    """(filepath, html) of documents, which keep no order: headings, paragraphs, lists if there are any, tables."""
+    each = lambda name, c: F.transform(c, lambda x: _tagged(F.lit(name), x))
+    row = lambda r: F.concat(F.lit("<tr>"), F.array_join(each("td", r), ""), F.lit("</tr>"))
+    tables = F.transform("tables", lambda t: F.concat(F.lit("<table>"), F.array_join(F.transform(t["cell_text"], row), ""), F.lit("</table>")))
+    lists = [each("li", F.col("lists"))] if "lists" in docs.columns else []
+    return docs.select("filepath", F.array_join(F.concat(each("h2", F.col("headings")), each("p", F.col("paragraphs")), *lists, tables), "").alias("html"))
+
+
+def render_files(files: DataFrame) -> DataFrame:
+    """(filepath, html) of scanned Word files, in order and by style; an unreadable one shows its text, which says so."""
+    prepare(files.sparkSession)
+    names = files.select("filepath", "filename")
+    raw = files.select("filepath", "content").mapInArrow(_parse, _RAW).join(names, "filepath")
+    return raw.select("filepath", html_of(F.col("paragraphs"), F.col("cells"), F.when(~F.col("readable"), T.unreadable(F.col("filename")))).alias("html"))
 
 
 def plain_path(path: str) -> str:
