@@ -6,18 +6,19 @@ Words are the runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased.
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import os
-import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.tables import cut, drop, shared_dir
+
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
 #: Bytes that are hashed at once, also within a long text or a long word.
@@ -34,46 +35,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *parts])
 
 
-def shared_dir(spark: SparkSession, keep: bool = False) -> str:
-    """A new folder below ``spark.checkpoint.dir``; it goes when the driver ends, if not told to ``keep``.
-
-    Where that setting is absent, a temporary folder of this machine stands in
-    for it if all of Spark runs in this process; on a cluster that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "tracewell-shared")
-    path = f"{base.rstrip('/')}/tracewell-{uuid.uuid4().hex}"
-    if not keep:
-        atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, jsc = spark._jvm, spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended: the folder's owner cleans up
-        pass
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder that ``shared_dir`` made."""
-    _drop(spark, path)
-
-
-def cut(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back: ends its lineage."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    # Nothing looks for the marker file of a table that only this run reads.
-    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 class Tables:
     """Written tables of one run, dropped as soon as nothing reads them any more."""
 
@@ -101,6 +62,33 @@ def text_bytes(col: pa.Array) -> list:
     return col.cast(pa.binary()).to_pylist()
 
 
+def text_blocks(col: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, list]]:
+    """(first, last + 1, texts as UTF-8 bytes) of runs of rows with about ``size`` bytes;
+    only one run's texts are Python objects at a time."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = col.cast(pa.binary())
+    lens = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(lens + 1) // (size or BLOCK_BYTES)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
+    for lo, hi in zip(first, [*first[1:], len(col)], strict=True):
+        yield int(lo), int(hi), col.slice(lo, hi - lo).to_pylist()
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives its memory back when a task's rows end, as a
+    worker serves many tasks."""
+
+    def wrapped(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return wrapped
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import cut, hashed, mix64, ngram_hashes, prepare, text_bytes
+from tracewell.llm.common import cut, hashed, lean, mix64, ngram_hashes, prepare, text_blocks
 from tracewell.llm.components import connected_components
 
 #: Bands and coordinates a band: a pair of similarity 0.8 shares no band with
@@ -55,65 +55,66 @@ def signature_bands(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray
 def _sketch(shingle: int, bands: int, rows: int):
     def run(it):
         for batch in it:
-            texts = text_bytes(batch.column(1))
-            n, keys, sketches = [], [], []
-            for lo in range(0, len(texts), 512):
-                part = [np.unique(ngram_hashes(h, shingle)) for _, h in hashed(texts[lo : lo + 512])]
-                full = [i for i, s in enumerate(part) if len(s)]
-                got = signature_bands([part[i] for i in full], bands, rows) if full else []
-                row = {i: g for i, g in zip(full, got, strict=True)}
-                for i, s in enumerate(part):
-                    n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    sketches.append(row[i].astype(np.int64) if i in row else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"],
-            )
+            for lo, hi, texts in text_blocks(batch.column(1)):
+                sets = [np.unique(ngram_hashes(h, shingle)) for _, h in hashed(texts)]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                got = signature_bands([sets[i] for i in full], bands, rows) if full else []
+                row = {i: g.astype(np.int64) for i, g in zip(full, got, strict=True)}
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()),
+                     pa.array([row.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "set_key", "bands"],
+                )
 
-    return run
+    return lean(run)
 
 
 def _sets(shingle: int):
     def run(it):
         for batch in it:
-            texts = text_bytes(batch.column(1))
-            out = [np.unique(ngram_hashes(h, shingle)).tobytes() for _, h in hashed(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["node", "members"])
+            for lo, hi, texts in text_blocks(batch.column(1)):
+                out = [np.unique(ngram_hashes(h, shingle)).tobytes() for _, h in hashed(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.binary())], ["node", "members"])
+
+    return lean(run)
 
-    return run
+
+def _views(col: pa.Array) -> list[np.ndarray]:
+    """The 64-bit numbers of each binary value, without a copy."""
+    if not len(col):
+        return []
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int32)[col.offset : col.offset + len(col) + 1] // 8
+    flat = np.frombuffer(data, np.uint64, at[-1]) if data is not None else np.zeros(0, np.uint64)
+    return [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _verify(percent: int):
     def run(it):
         for batch in it:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            keep = []
-            for i in range(len(a)):
-                s, t = np.frombuffer(x[i], np.uint64), np.frombuffer(y[i], np.uint64)
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (s, t) in enumerate(zip(_views(batch.column(2)), _views(batch.column(3)), strict=True)):
                 if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
                     continue
                 if len(s) > len(t):
                     s, t = t, s
                 at = np.minimum(np.searchsorted(t, s), len(t) - 1)
                 both = int((t[at] == s).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"]
-            )
+                keep[i] = 100 * both >= percent * (len(s) + len(t) - both)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return run
+    return lean(run)
 
 
 def _tokens(it):
     for batch in it:
-        for node, c, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            t = np.frombuffer(raw, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t), pa.array(np.full(len(t), node)), pa.array(np.full(len(t), c)), pa.array(np.full(len(t), len(t)))], ["token", "node", "c", "n"]
-            )
+        nodes, comps, sets = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _views(batch.column(2))
+        for lo in range(0, len(sets), 256):
+            part = sets[lo : lo + 256]
+            n = np.array([len(t) for t in part])
+            cols = [np.concatenate(part).view(np.int64), np.repeat(nodes[lo : lo + 256], n), np.repeat(comps[lo : lo + 256], n), np.repeat(n, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "node", "c", "n"])
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray], dense: int = 32) -> np.ndarray:
@@ -207,7 +208,7 @@ def _across(members: DataFrame, sets: DataFrame, comps: DataFrame, percent: int)
 
     nodes = placed.join(mixed(placed), "bucket").select("node", "c").distinct()
     held = cut(nodes.join(sets, "node").select("node", "c", "members"))
-    tokens = held.mapInArrow(_tokens, "token long, node long, c long, n long")
+    tokens = held.mapInArrow(lean(_tokens), "token long, node long, c long, n long")
     tokens = cut(tokens)
     common = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
     able = tokens.join(common, "token").groupBy("node", "n").agg(F.count("*").alias("s")).where(F.lit(100) * F.col("s") >= F.lit(percent) * F.col("n"))

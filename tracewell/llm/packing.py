@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import blocks, cut, joined, partition_id, prepare, text_bytes, word_counts, word_table
+from tracewell.llm.common import blocks, cut, joined, lean, partition_id, prepare, text_blocks, word_counts, word_table
 
 SEQUENCE_TOKENS = 2048
 #: Parts between blanks whose ids a worker holds; then it begins anew.
-CACHE_PARTS = 1_200_000
+CACHE_PARTS = 600_000
+#: Bytes of texts that are encoded by parts at once: their new parts, of a byte and a
+#: blank at least, and these without a sign at the end, fit into the table.
+BLOCK_LIMIT = CACHE_PARTS
 
 
 class CapacityTree:
@@ -117,7 +120,7 @@ class Encoder:
     is encoded text by text.
     """
 
-    SLOTS = 1 << 21
+    SLOTS = 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -232,14 +235,14 @@ class Encoder:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
         out: list[bytes | None] = [None] * len(texts)
-        for lo, hi in blocks(texts):
+        for lo, hi in blocks(texts, BLOCK_LIMIT // 2):
             mine = list(range(lo, hi))
             if self.by_parts:
                 lower = b" ".join(texts[lo:hi]).lower()
                 if any(s in lower for s in self.special):
                     mine = [i for i in mine if not any(s in texts[i].lower() for s in self.special)]
-                # A block with more new parts than the table holds goes text by text.
-                if sum(len(texts[i]) for i in mine) < CACHE_PARTS:
+                # A long text's parts may be more than the table holds; it is encoded as a whole.
+                if sum(len(texts[i]) for i in mine) < BLOCK_LIMIT:
                     for i, raw in zip(mine, self._block([texts[i] for i in mine]), strict=True):
                         out[i] = raw
             for i in range(lo, hi):
@@ -250,8 +253,8 @@ class Encoder:
     def _pieces(self, text: str):
         """A long text in parts, cut before a blank, where that does not change its ids."""
         at = 0
-        while self.by_parts and len(text) - at > CACHE_PARTS // 2:
-            end = text.rfind(" ", at + 1, at + CACHE_PARTS // 2)
+        while self.by_parts and len(text) - at > BLOCK_LIMIT // 2:
+            end = text.rfind(" ", at + 1, at + BLOCK_LIMIT // 2)
             if end < 0:
                 break
             yield text[at:end]
@@ -298,26 +301,26 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _pieces(path: str, capacity: int, end: bytes, with_ids: bool):
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank", "ids"]
+
     def run(it):
         encoder, chunk, ranks = _encoder(path), partition_id(), {}
         for batch in it:
             doc_ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            texts = [t or b"" for t in text_bytes(batch.column(1))]
-            for i, raw in enumerate(raw for lo, hi in blocks(texts) for raw in encoder.ids(texts[lo:hi])):
-                raw += end
-                for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rank = ranks.get(n, 0)
-                    ranks[n] = rank + 1
-                    rows.append((doc_ids[i], piece, piece * capacity, n, zlib.crc32(part), chunk, rank, part if with_ids else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "chunk", "rank", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
-
-    return run
+            for lo, _, texts in text_blocks(batch.column(1)):
+                rows: list[tuple] = []
+                for i, raw in enumerate(encoder.ids([t or b"" for t in texts]), lo):
+                    raw += end
+                    for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        n = len(part) // 4
+                        rank = ranks.get(n, 0)
+                        ranks[n] = rank + 1
+                        rows.append((doc_ids[i], piece, piece * capacity, n, zlib.crc32(part), chunk, rank, part if with_ids else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return lean(run)
 
 
 def _place(runs: dict[int, list]):
