@@ -1,11 +1,13 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Found are e-mail addresses, phone numbers, card numbers (Luhn), social security
-numbers, IBANs (modulo 97), IPv4 addresses and names after a form of address. A
+numbers, IBANs (modulo 97), IP addresses and names after a form of address. A
 surrogate is derived from a secret key and the entity's canonical form, so an
 entity has one surrogate in all documents and spellings, and keeps kind and
-format: separators, letter case, script, check digits, and for names the gender
-that the form of address tells.
+format: separators, letter case, script, check digits, and for names hyphens and
+the gender that forms of address tell: a given name has one surrogate whatever
+title stands before it, of the gender of its titles where they agree. Addresses
+at one host get one host. The key is data of a table of one row, not part of any plan.
 
 All distinct entities form a dictionary. A surrogate that another entity already
 has, or that is itself an entity of the corpus, is derived again with the next
@@ -29,6 +31,8 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     # 16 to 19 digits, also in groups of four; 14 and 15 as 4-6-4 and 4-6-5; 13 as 4-3-3-3; others without separators
     "card": r"(?<![\w-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5}|[2-6]\d{3}[ -]?\d{3}[ -]?\d{3}[ -]?\d{3})(?![\w-])",
+    # eight groups, or fewer around a double colon with three colons at least
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])|(?<![\w:.])(?=[0-9A-Fa-f:]*::)(?=(?:[0-9A-Fa-f]*:){3})(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w)(?!\.\d)",
     "phone": r"(?<![\w+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{4}(?![\w-])|(?<![\w.-])\+(?=(?:[ .-]?\d){7})\d{1,3}(?:[ .-]\d{1,8}){2,7}(?![\w-])|(?<![\w.-])\+\d{1,3}[ .-]?\d{6,14}(?![\w-])|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])[2-9]\d{9}(?![\w-])(?!\.\d)",
@@ -62,7 +66,7 @@ ENDINGS = {
     "cyrillic": {"m": "н р м й", "f": "а ия ина на", "n": "н р", "s": "ко нко вич рук"},
     "greek": {"m": "ς ης ος ας", "f": "α η ια ινα", "n": "ν ς", "s": "δης κης πουλος λης"},
 }
-MAX_ATTEMPTS = 64
+MAX_ATTEMPTS = 40
 
 
 def _digits(v: Column) -> Column:
@@ -106,7 +110,7 @@ def card_digits(v: Column) -> Column:
 
 def kind_of(v: Column) -> Column:
     """The kind of a found string; null for one that fails its check digits."""
-    out = reduce(lambda c, k: c.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)), ("email", "ip", "ssn"), F.when(F.lit(False), F.lit("")))
+    out = reduce(lambda c, k: c.when(v.rlike(f"^(?:{PATTERNS[k]})$"), F.lit(k)), ("email", "ip", "ipv6", "ssn"), F.when(F.lit(False), F.lit("")))
     compact = F.regexp_replace(v, " ", "")
     out = out.when(v.rlike("^[A-Z]{2}[0-9]{2}"), F.when(mod97(compact) == 1, F.lit("iban")))
     is_card = v.rlike(f"^(?:{PATTERNS['card']})$")
@@ -137,34 +141,43 @@ def script_of(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).when(word.rlike(r"\p{IsGreek}"), F.lit("greek")).otherwise(F.lit("latin"))
 
 
-def derive(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The surrogate's canonical form."""
-    hexes = F.concat(
-        F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string"), F.lit("a")), 256),
-        F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string"), F.lit("b")), 256),
-    )
+def _hexes(key: Column, *parts: Column) -> Column:
+    return F.concat(*[F.sha2(F.concat_ws("|", key, *parts, F.lit(x)), 256) for x in ("a", "b")])
+
+
+def _letters(hexes: Column, n: int) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.char(_byte(hexes, i) % 26 + 97)), "")
+
+
+def derive(kind: Column, canonical: Column, attempt: int, key: Column) -> Column:
+    """The surrogate's canonical form; names and mail boxes lengthen with the attempt."""
+    hexes = _hexes(key, kind, canonical, F.lit(str(attempt)))
     mapped = _map_chars(canonical, hexes)
     body = F.substr(mapped, F.lit(1), F.length(mapped) - 1)
     check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
     bban = F.substr(mapped, F.lit(5))
     land = F.substring(canonical, 1, 2)
     iban_check = F.lit(98) - mod97(F.concat(land, F.lit("00"), bban))
-    local = F.substring_index(canonical, "@", 1)
-    more = F.when(attempt > 2, F.substring(hexes, 1, 6)).otherwise(F.lit(""))
+    more = F.substring(hexes, 1, 6 * (attempt // 2)) if attempt > 1 else F.lit("")
     host = F.substring_index(canonical, "@", -1)
-    label = F.when(F.size(F.split(host, "[.]")) > 2, F.concat(_map_chars(F.substring_index(host, ".", 1), F.reverse(hexes)), F.lit("."))).otherwise(F.lit(""))
     top = F.substring_index(host, ".", -1)
-    email = F.concat(_map_chars(local, hexes), more, F.lit("@"), label, F.lit("example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("com")))
+    host = F.concat(_letters(_hexes(key, F.lit("host"), host), 8), F.lit(".example."), F.when(top.isin("com", "net", "org"), top).otherwise(F.lit("com")))
+    email = F.concat(_map_chars(F.substring_index(canonical, "@", 1), hexes), more, F.lit("@"), host)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((_byte(hexes, i * 2) * 256 + _byte(hexes, i * 2 + 1)) % 254 + 1).cast("string")), ".")
+    ipv6 = F.array_join(F.transform(_chars(canonical), lambda c, i: F.when(c == ":", c).otherwise(F.substr(F.lit("123456789abcdef"), _byte(hexes, i) % 15 + 1, F.lit(1)))), "")
     name = F.when(F.lit(False), F.lit(""))
     for s, syllables in SYLLABLES.items():
         for g in ("m", "f", "n", "s"):
-            stem = F.concat(*[_pick(syllables, _byte(hexes, F.lit(2 * i)) * 256 + _byte(hexes, F.lit(2 * i + 1))) for i in range(3)])
-            extra = F.when(attempt > 2, _pick(syllables, _byte(hexes, F.lit(9)))).otherwise(F.lit(""))
-            name = name.when((script_of(canonical) == s) & (kind == f"name_{g}"), F.concat(stem, extra, _pick(ENDINGS[s][g], _byte(hexes, F.lit(8)))))
+            def stem(at: int, n: int) -> Column:
+                one = lambda i: _pick(syllables, _byte(hexes, i * 2 + at) * 256 + _byte(hexes, i * 2 + at + 1))  # noqa: E731, B023
+                return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one), "")
+
+            whole = F.concat(F.when(F.contains(canonical, F.lit("-")), F.concat(stem(30, 2), F.lit("-"))).otherwise(F.lit("")), stem(0, 3 + attempt // 2), _pick(ENDINGS[s][g], _byte(hexes, F.lit(62))))
+            name = name.when((script_of(canonical) == s) & (kind == f"name_{g}"), whole)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", ip)
+        .when(kind == "ipv6", ipv6)
         .when(kind == "card", F.concat(body, check))
         .when(kind == "iban", F.concat(land, F.lpad(iban_check.cast("string"), 2, "0"), bban))
         .when(kind.startswith("name_"), name)
@@ -189,6 +202,7 @@ def _units(v: Column, kind: Column) -> Column:
     other = (
         F.when(kind == "email", F.lower(v))
         .when(kind == "ip", v)
+        .when(kind == "ipv6", F.lower(v))
         .when(kind == "iban", F.regexp_replace(v, " ", ""))
         .when(kind == "card", card_digits(v))
         .when(kind == "phone", F.when(F.length(digits) > 10, F.substr(digits, F.length(digits) - 9)).otherwise(digits))
@@ -197,26 +211,38 @@ def _units(v: Column, kind: Column) -> Column:
     return F.when(kind == "name", roles).otherwise(F.array(F.struct(kind.alias("kind"), other.alias("canonical"))))
 
 
+def _settled(units: DataFrame) -> DataFrame:
+    """Distinct (kind, canonical, space): a given name gets one gender, that of its titles
+    where all that tell one agree. Entities of one space must have different surrogates."""
+    given = F.col("kind").isin("name_m", "name_f", "name_n")
+    space = F.when(given, F.lit("given")).otherwise(F.col("kind"))
+    told = F.when(given & (F.col("kind") != "name_n"), F.col("kind"))
+    one = units.groupBy(space.alias("space"), "canonical").agg(F.min(told).alias("lo"), F.max(told).alias("hi"), F.min("kind").alias("kind"))
+    kind = F.when(F.col("space") != "given", F.col("kind")).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.lit("name_n"))
+    return one.select("space", "canonical", kind.alias("kind"))
+
+
 def dictionary(units: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical) -> surrogate, one to one, and no surrogate is an entity.
+    """(space, canonical, kind) -> surrogate, one to one in each space, and no surrogate is an entity.
 
     Each round derives surrogates for what has none yet and accepts those that
     no entity and no accepted surrogate equals; of several equal ones the least
-    canonical form is served. A kind whose whole range is used up is an error.
+    canonical form is served. Names and mail boxes get longer with each round, so
+    they never run out; a kind of fixed length whose range is used up is an error.
     """
-    all_units = cut(units.select("kind", "canonical").distinct())
-    left, done = all_units, None
+    # A table of one row: its value is in no plan, event log or web page.
+    secret = F.broadcast(units.sparkSession.createDataFrame([(key,)], "secret string"))
+    all_units = cut(_settled(units))
+    left, done = all_units, []
     for attempt in range(MAX_ATTEMPTS):
-        tried = left.withColumn("surrogate", derive(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
-        least = tried.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        taken = all_units.select("kind", F.col("canonical").alias("surrogate"))
-        if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
-        good = least.join(taken.distinct(), ["kind", "surrogate"], "left_anti").select("kind", "canonical", "surrogate")
-        done = cut(good if done is None else done.unionByName(good))
-        left = cut(all_units.join(done, ["kind", "canonical"], "left_anti"))
+        tried = left.crossJoin(secret).withColumn("surrogate", derive(F.col("kind"), F.col("canonical"), attempt, F.col("secret")))
+        least = tried.groupBy("space", "surrogate").agg(F.min(F.struct("canonical", "kind")).alias("u")).select("space", "surrogate", "u.canonical", "u.kind")
+        taken = reduce(DataFrame.unionByName, [d.select("space", "surrogate") for d in done], all_units.select("space", F.col("canonical").alias("surrogate")))
+        good = cut(least.join(taken.distinct(), ["space", "surrogate"], "left_anti").select("space", "canonical", "kind", "surrogate"))
+        done.append(good)
+        left = cut(left.join(good, ["space", "canonical"], "left_anti"))
         if left.isEmpty():
-            return done
+            return reduce(DataFrame.unionByName, done)
     raise ValueError(f"no free surrogates after {MAX_ATTEMPTS} attempts")
 
 
@@ -242,14 +268,15 @@ def render(v: Column, kind: Column, surrogates: Column) -> Column:
     words = F.split(v, " ")
 
     def shape(w: Column, s: Column) -> Column:
-        new = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(F.initcap(s))
+        capital = F.array_join(F.transform(F.split(s, "-"), F.initcap), "-")
+        new = F.when((w == F.upper(w)) & (F.length(w) > 1), F.upper(s)).otherwise(capital)
         return F.when(w.rlike(f"^(?:{INITIAL})$"), F.concat(F.substring(F.initcap(s), 1, 1), F.regexp_extract(w, "[.]?$", 0))).otherwise(new)
 
     shaped = F.transform(words, lambda w, i: F.when(_named(w), shape(w, F.get(surrogates, F.size(F.filter(F.slice(words, F.lit(1), i + 1), _named)) - 1))).otherwise(w))
     name = F.array_join(shaped, " ")
     email = F.when(v == F.upper(v), F.upper(one)).otherwise(one)
     return (
-        F.when(kind == "email", email).when(kind == "ip", one).when(kind == "iban", iban).when(kind == "name", name)
+        F.when(kind == "email", email).when(kind == "ip", one).when(kind == "ipv6", F.when(v == F.upper(v), F.upper(one)).otherwise(one)).when(kind == "iban", iban).when(kind == "name", name)
         .when((n > 0) & (F.length(plain) > 0), numbers).otherwise(v)
     )
 
@@ -273,8 +300,9 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     values = cut(places.select("v").distinct().withColumn("kind", kind_of(F.col("v"))).where("kind is not null"))
     units = values.select("v", "kind", F.posexplode(_units(F.col("v"), F.col("kind"))).alias("n", "u"))
     units = units.select("v", F.col("kind").alias("whole"), "n", "u.kind", "u.canonical")
-    known = dictionary(units, key)
-    served = units.join(known, ["kind", "canonical"]).groupBy("v", "whole").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate"))).alias("s"))
+    known = dictionary(units.select("kind", "canonical"), key).select("space", "canonical", "surrogate")
+    space = F.when(F.col("kind").isin("name_m", "name_f", "name_n"), F.lit("given")).otherwise(F.col("kind"))
+    served = units.withColumn("space", space).join(known, ["space", "canonical"]).groupBy("v", "whole").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate"))).alias("s"))
     served = cut(served.select("v", F.col("whole").alias("kind"), render(F.col("v"), F.col("whole"), F.col("s.surrogate")).alias("new")))
     # A string that thousands of documents share is a hot key of this join; AQE splits it.
     new = places.join(served, "v", "left").select("id", F.struct("at", F.coalesce("new", "v").alias("new"), "kind").alias("p"))
