@@ -9,10 +9,12 @@ its smoothed relative frequency. So each text, with words never seen in training
 too, has a proper probability.
 
 Counts cover all training documents. Training is noise-contrastive estimation
-(Mnih and Teh, 2012) in numpy: in each round every task makes one pass over its
-share of the training documents, starting from the same parameters, and the
-results are averaged by the number of tokens, in a tree; the rounds together
-see every training document once. Normalisers of all contexts come from batched
+(Mnih and Teh, 2012) in numpy: each round deals its share of the training
+documents by the hash of their rows to shards of about SHARD_TOKENS tokens. Each
+shard is one pass over its documents in the order of their hashes, all shards
+start from the same parameters, and the results are averaged by the number of
+tokens, in a tree; the rounds together see every training document once. So the
+model does not depend on how the input is partitioned. Normalisers of all contexts come from batched
 matrix products, once.
 """
 
@@ -23,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import blocks, cut, hash_words, partition_id, prepare, text_bytes
+from tracewell.llm.common import cut, hash_words, lean, partition_id, prepare, text_blocks
 
 #: Words with a class of their own, the end of text among them; groups of others.
 HEAD, GROUPS = 960, 64
 #: Words whose counts the executors hold; the counts of others come by a join.
 HELD_WORDS = 1 << 17
 DIM, BATCH, NOISE, ROUNDS, RATE = 32, 4096, 64, 3, 0.15
+#: Tokens of a shard, which one model passes over in a round.
+SHARD_TOKENS = 1_000_000
 SMOOTH = 0.1
 #: The end of text as a key; the low bits of a word's key are its group.
 END = np.int64(-1)
@@ -45,10 +49,7 @@ def _keys(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(it):
     for batch in it:
-        found = []
-        texts = text_bytes(batch.column(0))
-        for lo, hi in blocks(texts):
-            found.append(np.unique(_keys(texts[lo:hi])[0], return_counts=True))
+        found = [np.unique(_keys(texts)[0], return_counts=True) for _, _, texts in text_blocks(batch.column(0))]
         if found:
             keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
             n = np.bincount(at, np.concatenate([c for _, c in found]), len(keys)).astype(np.int64)
@@ -143,14 +144,24 @@ class Trainer:
         q = class_n / class_n.sum()
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.rng = np.random.default_rng(seed)
+        self.rest = [np.zeros(0, np.int64)] * 3
 
     def _step(self, name: str, grad: np.ndarray) -> None:
         self.sq[name] += grad * grad
         self.p[name] += RATE * grad / np.sqrt(self.sq[name])
 
     def train(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        for lo in range(0, len(w), BATCH):
+        """Steps of BATCH tokens; the rest waits for the next call, so blocks of texts play no part."""
+        w, one, two = (np.concatenate(x) for x in zip(self.rest, (w, one, two), strict=True))
+        whole = len(w) - len(w) % BATCH
+        for lo in range(0, whole, BATCH):
             self._batch(w[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH])
+        self.rest = [x[whole:] for x in (w, one, two)]
+
+    def finish(self) -> dict[str, np.ndarray]:
+        if len(self.rest[0]):
+            self._batch(*self.rest)
+        return self.p
 
     def _batch(self, w, one, two) -> None:
         p = self.p
@@ -176,22 +187,32 @@ class Trainer:
 
 
 def _train(vocab, params: bytes, seed: int):
+    """One model for each shard; rows (shard, text) come sorted by shard."""
+
     def run(it):
-        pid, v, seen = partition_id(), vocab.value, 0
-        trainer = Trainer(unpack_parameters(params, v.classes), v.class_n, seed * 1_000_003 + pid)
-        for batch in it:
-            texts = text_bytes(batch.column(0))
-            for lo, hi in blocks(texts):
-                keys, lens = _keys(texts[lo:hi])
-                w = v.classify(keys)
-                trainer.train(w, *_contexts(w, lens, v.classes))
-                seen += len(w)
-        if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([pid], pa.int64()), pa.array([float(seen)]), pa.array([pack_parameters(trainer.p)])], ["part", "weight", "params"]
-            )
+        v, at, trainer, seen = vocab.value, None, None, 0
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([float(seen)]), pa.array([pack_parameters(trainer.finish())])], ["part", "weight", "params"])
 
-    return run
+        for batch in it:
+            shards = batch.column(0).to_numpy()
+            for lo, _, texts in text_blocks(batch.column(1)):
+                cuts = np.flatnonzero(np.diff(shards[lo : lo + len(texts)])) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(texts)], strict=True):
+                    if shards[lo + a] != at:
+                        if trainer is not None:
+                            yield done()
+                        at, seen = int(shards[lo + a]), 0
+                        trainer = Trainer(unpack_parameters(params, v.classes), v.class_n, seed * 1_000_003 + at)
+                    keys, lens = _keys(texts[a:b])
+                    w = v.classify(keys)
+                    trainer.train(w, *_contexts(w, lens, v.classes))
+                    seen += len(w)
+        if trainer is not None:
+            yield done()
+
+    return lean(run)
 
 
 _PARTS = "part long, weight double, params binary"
@@ -234,7 +255,7 @@ class Model:
         return (self.one[one, w].astype(np.float64) + self.two[two, w] - self.norm[one, two]) / np.log(10)
 
 
-_ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"
+_ROW = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>, times array<long>"
 
 
 def _score(model):
@@ -242,10 +263,9 @@ def _score(model):
         m, pid, row = model.value, partition_id(), 0
         v = m.vocab
         for batch in it:
-            texts = text_bytes(batch.column("text"))
             cols: list[list] = [[] for _ in range(6)]
-            for lo, hi in blocks(texts):
-                keys, lens = _keys(texts[lo:hi])
+            for _, _, texts in text_blocks(batch.column("text")):
+                keys, lens = _keys(texts)
                 w = v.classify(keys)
                 first = np.cumsum(lens) - lens
                 at = np.minimum(np.searchsorted(v.held, keys), max(0, len(v.held) - 1))
@@ -260,17 +280,20 @@ def _score(model):
                 cols[3] += np.add.reduceat(lm, first).tolist()
                 rest = np.flatnonzero(~held)
                 cuts = np.searchsorted(rest, np.append(first, len(keys)))
-                cols[4] += [keys[rest[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            n = len(texts)
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    key, n = np.unique(keys[rest[a:b]], return_counts=True)
+                    cols[4].append(key)
+                    cols[5].append(n)
+            n = batch.num_rows
             rows = np.arange(row, row + n) + (pid << 40)
             row += n
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows), batch.column("doc_id"), batch.column("held_out"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                 pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64()))],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"],
+                 pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.list_(pa.int64())), pa.array(cols[5], pa.list_(pa.int64()))],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest", "times"],
             )
 
-    return run
+    return lean(run)
 
 
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -290,7 +313,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).alias("text")
     )
     train = base.where(~F.col("held_out"))
-    counts = cut(train.select("text").mapInArrow(_count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counts = cut(train.select("text").mapInArrow(lean(_count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     by_group = counts.groupBy(F.col("key").bitwiseAND(GROUPS - 1).alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow().to_pylist()
     group_n, group_v = np.zeros(GROUPS, np.int64), np.zeros(GROUPS, np.int64)
     for r in by_group:
@@ -303,19 +326,22 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     vocab = Vocabulary(int(group_n.sum()), int(group_v.sum()), held.copy(), held_n.copy(), group_n, group_v)
     sent = spark.sparkContext.broadcast(vocab)
     params = pack_parameters(start_parameters(vocab.class_n))
+    shards = max(1, round(vocab.tokens / (rounds * SHARD_TOKENS)))
     for i in range(rounds):
-        share = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == i).select("text")
-        parts = cut(share.mapInArrow(_train(sent, params, i), _PARTS))
+        share = train.select(F.xxhash64("doc_id", "text").alias("h"), "text").where(F.pmod("h", F.lit(rounds)) == i)
+        share = share.select(F.pmod(F.floor(F.col("h") / rounds).cast("long"), F.lit(shards)).alias("shard"), "h", "text")
+        dealt = share.repartition(shards, "shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+        parts = cut(dealt.mapInArrow(_train(sent, params, i), _PARTS))
         last = parts.agg(F.max("part")).first()[0]
         params = _merged(parts, (last or 0) + 1) or params
     model = Model(vocab, unpack_parameters(params, vocab.classes))
     scored = cut(base.mapInArrow(_score(spark.sparkContext.broadcast(model)), _ROW))
-    # Words beyond the held ones are rare, so none of them is a hot key.
-    rest = scored.select("row", F.explode("rest").alias("key")).join(counts, "key", "left")
-    rest = rest.groupBy("row").agg(
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("logs"), F.count("n").alias("more")
+    # A word comes once a row with its number there; one that only held-out rows have may be in many, and AQE splits it.
+    rest = scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r")).select("row", F.col("r.rest").alias("key"), F.col("r.times").alias("t"))
+    rest = rest.join(counts, "key", "left").groupBy("row").agg(
+        F.sum(F.col("t") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(SMOOTH))).alias("logs"), F.sum(F.when(F.col("n").isNotNull(), F.col("t"))).alias("more")
     )
-    out = scored.drop("rest").join(rest, "row", "left")
+    out = scored.drop("rest", "times").join(rest, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select(
         "doc_id",
