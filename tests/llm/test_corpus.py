@@ -461,3 +461,26 @@ def test_media_orphans_go(spark, tmp_path):
     (tmp_path / "shards" / "shard-000000-lost-0000.tar").write_bytes(b"x")
     assert media.drop_orphans(rows, root) == 1 and media.drop_orphans(rows, root) == 0
     assert media.header_columns(media.places(rows), root).count() == 2
+
+
+def test_surrogates_are_one_for_a_person_and_a_host(spark):
+    texts = ["Dr. Anna Meier", "Mrs Anna Meier", "Prof Anna Roth", "Dr Jan-Peter Maier", "a@acme.com", "b@acme.com", "c@other.com", "2001:db8:0:1:2:3:4:5", "fe80:0:1::9"]
+    df = spark.createDataFrame([(i, f"with {t} today") for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogates(df, "secret key").select("row.doc_id", "row.text", F.col("kinds").alias("found")).collect()}
+    new = [got[i]["text"][5:-6] for i in range(len(texts))]
+    assert [got[i]["found"] for i in range(len(texts))] == [["name"]] * 4 + [["email"]] * 3 + [["ipv6"]] * 2
+    assert new[0].split()[1:] == new[1].split()[1:] and new[2].split()[1] == new[0].split()[1] and new[2].split()[2] != new[0].split()[2]
+    assert new[3].count("-") == 1 and all(p[0].isupper() for p in new[3].split()[1].split("-"))
+    hosts = [x.split("@")[1] for x in new[4:7]]
+    assert hosts[0] == hosts[1] != hosts[2] and all(h.endswith(".example.com") for h in hosts)
+    assert all(a != b and a.count(":") == b.count(":") and len(a) == len(b) for a, b in zip(texts[7:], new[7:], strict=True))
+    plan = pii.surrogates(df, "secret key")._jdf.queryExecution().toString()
+    assert "secret key" not in plan
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    rows = [(i, " ".join(random.Random(i % 7).choices("the cat sat on a mat".split(), k=30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = F.col("doc_id") % 10 == 0
+    got = [{r["doc_id"]: r["score"] for r in lm_score.score(df.repartition(n), held).collect()} for n in (1, 5)]
+    assert all(abs(got[0][i] - got[1][i]) < 1e-6 * abs(got[0][i]) for i in got[0])
