@@ -68,3 +68,33 @@ def test_join_index_keeps_documents_without_embedding(spark):
     e = spark.createDataFrame([("a", [1.0])], "filepath string, embedding array<double>")
     assert rows(store.join_index(a, t, e), "filepath") == [("a", 1, "x", [1.0]), ("b", 2, "y", None)]
     assert rows(store.keep_longest(t.withColumn("file_hash", F.lit("h")).withColumnRenamed("text", "full_text").withColumn("last_modified", F.lit(1.0))), "filepath")[0][0] == "a"
+
+
+def test_a_stored_index_opens_only_changed_files(spark, tmp_path, monkeypatch):
+    import os
+    import zipfile
+
+    from tracewell.plans import indexing
+
+    def docx(name, text):
+        w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+        with zipfile.ZipFile(tmp_path / "docs" / name, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:body></w:document>")
+
+    (tmp_path / "docs").mkdir()
+    for n in "abc":
+        docx(f"{n}.docx", f"text of {n}")
+    target, told = f"file://{tmp_path}/index", []
+    run = lambda: {r["filename"]: r["full_text"] for r in indexing.refresh(spark, str(tmp_path / "docs"), target, progress=lambda *x: told.append(x)).collect()}
+    assert run() == {f"{n}.docx": f"text of {n}" for n in "abc"} and told[0][1] == 3
+    state = indexing.Store(spark, target).last()
+    told.clear()
+    assert len(run()) == 3 and told == [(0, 0, "All document indexes are up to date.")] and indexing.Store(spark, target).last() == state
+    docx("a.docx", "another text, longer than before")
+    os.utime(tmp_path / "docs" / "a.docx", (2e9, 2e9))
+    (tmp_path / "docs" / "b.docx").unlink()
+    told.clear()
+    assert run() == {"a.docx": "another text, longer than before", "c.docx": "text of c"} and told[0][1] == 1
+    monkeypatch.setattr(indexing, "INDEX_VERSION", indexing.INDEX_VERSION + 1)
+    told.clear()
+    assert len(run()) == 2 and told[0][1] == 2
