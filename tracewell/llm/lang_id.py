@@ -22,10 +22,16 @@ from tracewell.llm.common import blocks, mix64, prepare
 BUCKETS, ORDERS, MAX_LANGS = 1 << 15, (1, 2, 3, 4), 1000
 UNKNOWN = "und"
 
-# What \w takes besides letters, decimal digits and "_" are numbers such as a half or a Roman eight.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-_LETTER = re.compile(rf"[^\W\d_{_NUMBERS}]")
-_WORDS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Numbers that \\w takes beside letters, decimal digits and "_", such as a half or a Roman eight.
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_BLANKS = str.maketrans(dict.fromkeys(_NUMBERS, " "))
+_LETTER = re.compile(r"[^\W\d_]")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def _plain(text: str) -> str:
+    """The text with a blank for each such number."""
+    return text if text.isascii() or _NUMBERS.isdisjoint(text) else text.translate(_BLANKS)
 
 
 def _grams(texts: list[str], orders: tuple[int, ...], buckets: int):
@@ -34,7 +40,7 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int):
     Characters are lower-cased; each run of other characters than letters is one
     blank. N-grams do not cross from one text into the next.
     """
-    cleaned = [f" {' '.join(_WORDS.findall(t.lower()))} " for t in texts]
+    cleaned = [f" {' '.join(_WORDS.findall(_plain(t.lower())))} " for t in texts]
     codes = np.frombuffer("".join(cleaned).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lens = np.fromiter((len(c) for c in cleaned), np.int64, len(cleaned))
     ends = np.cumsum(lens)
@@ -131,7 +137,7 @@ def _predict(model_bc, unknown: str):
         for batch in it:
             texts = [t or "" for t in batch.column(-1).to_pylist()]
             lang, score = [unknown] * len(texts), [0.0] * len(texts)
-            able = [i for i, t in enumerate(texts) if _LETTER.search(t)] if model.langs else []
+            able = [i for i, t in enumerate(texts) if _LETTER.search(_plain(t))] if model.langs else []
             some = [texts[i] for i in able]
             for lo, hi in blocks(some):
                 joint = model.posteriors(some[lo:hi])
