@@ -11,11 +11,11 @@ too, has a proper probability.
 Counts cover all training documents. Training is noise-contrastive estimation
 (Mnih and Teh, 2012) in numpy: each round deals its share of the training
 documents by the hash of their rows to shards of about SHARD_TOKENS tokens. Each
-shard is one pass over its documents in the order of their hashes, all shards
-start from the same parameters, and the results are averaged by the number of
-tokens, in a tree; the rounds together see every training document once. So the
-model does not depend on how the input is partitioned. Normalisers of all contexts come from batched
-matrix products, once.
+shard reads its documents in the order of their hashes and passes PASSES times
+over them, all shards start from the same parameters, and the results are
+averaged by the number of tokens, in a tree; the rounds together see every
+training document. So the model does not depend on how the input is partitioned.
+Normalisers of all contexts come from batched matrix products, once.
 """
 
 from __future__ import annotations
@@ -31,9 +31,11 @@ from tracewell.llm.common import cut, hash_words, lean, partition_id, prepare, t
 HEAD, GROUPS = 960, 64
 #: Words whose counts the executors hold; the counts of others come by a join.
 HELD_WORDS = 1 << 17
-DIM, BATCH, NOISE, ROUNDS, RATE = 32, 4096, 64, 3, 0.15
+DIM, BATCH, NOISE, ROUNDS, RATE, PASSES = 32, 512, 64, 3, 0.15, 2
 #: Tokens of a shard, which one model passes over in a round.
 SHARD_TOKENS = 1_000_000
+#: Tokens that a task holds to pass over them again; a larger shard is passed over in such parts.
+HELD_TOKENS = 1 << 21
 SMOOTH = 0.1
 #: The end of text as a key; the low bits of a word's key are its group.
 END = np.int64(-1)
@@ -99,11 +101,11 @@ def _contexts(classes: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.nda
     return one, two
 
 
-def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their numbers ``at``, of 0..n-1."""
+    dim = rows.shape[1]
+    flat = (at.astype(np.int64)[:, None] * dim + np.arange(dim)).ravel()
+    return np.bincount(flat, rows.ravel(), n * dim).reshape(n, dim).astype(np.float32)
 
 
 NAMES = ("R", "C1", "C2", "Q", "b")
@@ -144,25 +146,34 @@ class Trainer:
         q = class_n / class_n.sum()
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.rest = [np.zeros(0, np.int64)] * 3
+        self.held: list[tuple[np.ndarray, ...]] = []
 
     def _step(self, name: str, grad: np.ndarray) -> None:
         self.sq[name] += grad * grad
         self.p[name] += RATE * grad / np.sqrt(self.sq[name])
 
     def train(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        """Steps of BATCH tokens; the rest waits for the next call, so blocks of texts play no part."""
-        w, one, two = (np.concatenate(x) for x in zip(self.rest, (w, one, two), strict=True))
-        whole = len(w) - len(w) % BATCH
-        for lo in range(0, whole, BATCH):
-            self._batch(w[lo : lo + BATCH], one[lo : lo + BATCH], two[lo : lo + BATCH])
-        self.rest = [x[whole:] for x in (w, one, two)]
+        """Take tokens and their contexts; parts have HELD_TOKENS, so blocks of texts play no part."""
+        self.held.append(tuple(x.astype(np.int16) for x in (w, one, two)))
+        if sum(len(x[0]) for x in self.held) >= HELD_TOKENS:
+            self._pass(HELD_TOKENS)
 
     def finish(self) -> dict[str, np.ndarray]:
-        if len(self.rest[0]):
-            self._batch(*self.rest)
+        self._pass(1)
         return self.p
 
+    def _pass(self, least: int) -> None:
+        """Pass over the tokens held, in parts of at most HELD_TOKENS, until less than ``least`` remain."""
+        if not self.held:
+            return
+        cols = [np.concatenate(x) for x in zip(*self.held, strict=True)]
+        while len(cols[0]) >= least:
+            part, cols = [x[:HELD_TOKENS] for x in cols], [x[HELD_TOKENS:] for x in cols]
+            for _ in range(PASSES):
+                for lo in range(0, len(part[0]), BATCH):
+                    self._batch(*(x[lo : lo + BATCH] for x in part))
+        self.held = [tuple(x.copy() for x in cols)]
+
     def _batch(self, w, one, two) -> None:
         p = self.p
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
@@ -175,13 +186,14 @@ class Trainer:
         gp = (1 / (1 + np.exp(np.clip(pos, -30, 30)))) / len(w)
         gn = -(1 / (1 + np.exp(-np.clip(neg, -30, 30)))) / len(w)
         d_hat = gp[:, None] * qw + gn @ qx
-        g = {n: np.zeros_like(p[n]) for n in ("R", "Q", "b")}
-        _scatter(g["Q"], w, gp[:, None] * hat)
-        np.add.at(g["Q"], noise, gn.T @ hat)
-        g["b"] += np.bincount(w, gp, len(g["b"])).astype(np.float32)
-        np.add.at(g["b"], noise, gn.sum(0))
-        _scatter(g["R"], np.concatenate([one, two]), np.concatenate([d_hat @ p["C1"].T, d_hat @ p["C2"].T]))
-        g["C1"], g["C2"] = r1.T @ d_hat, r2.T @ d_hat
+        target = np.concatenate([w, noise])
+        g = {
+            "R": _sums(np.concatenate([one, two]), np.concatenate([d_hat @ p["C1"].T, d_hat @ p["C2"].T]), len(p["R"])),
+            "C1": r1.T @ d_hat,
+            "C2": r2.T @ d_hat,
+            "Q": _sums(target, np.concatenate([gp[:, None] * hat, gn.T @ hat]), len(p["Q"])),
+            "b": np.bincount(target, np.concatenate([gp, gn.sum(0)]), len(p["b"])).astype(np.float32),
+        }
         for n in NAMES:
             self._step(n, g[n])
 
