@@ -89,6 +89,23 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
+def gathered(run: Callable, rows: int = 1 << 16) -> Callable:
+    """A function over batches with its small batches put together to larger ones."""
+
+    def wrapped(it):
+        held, n = [], 0
+        for b in run(it):
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return wrapped
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
