@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import embed_dedup, lang_id, lm_score, media, mixing, near_dedup, packing, passages, pii, quality
+from tracewell.llm import embed_dedup, lang_id, line_dedup, lm_score, media, mixing, near_dedup, packing, passages, pii, quality, schema_drift, spelling
 from tracewell.llm.common import fold
 
 
@@ -62,6 +62,24 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_schema_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = schema_drift.with_digests(schema_drift.rewrite_clients(_table(spark, sf_dir, "clients")))
+    version = F.crc32(F.concat(F.lit("7:"), F.col("file_no").cast("string")).cast("binary")) % 24
+    return files.select(
+        "file_no", F.when(version > 15, 0).otherwise(version).cast("long").alias("version"), "n_rows", "n_nulls", "ids_sha256", "rows_sha256",
+        "start_columns", "columns", "path", "rewritten", "drift",
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents")).select("word", "n", "n_near", "form", "form_n", "root")
+
+
 QUERIES = (
     op1_pii_surrogates,
     op2_embedding_near_dedup,
@@ -73,6 +91,9 @@ QUERIES = (
     op8_source_mixing,
     op9_media_columns,
     op10_substring_dedup,
+    op11_schema_drift,
+    op12_line_dedup,
+    op13_spelling_variants,
 )
 
 
@@ -110,5 +131,19 @@ FROM o
 """
 
 
+#: Lines of each document in order, the keys in three documents or more, and what is left of each text.
+LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM d),
+k AS (SELECT r, doc_id, line, i,
+             translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.r, k.doc_id, k.line, k.i, f.keeper IS NOT NULL AND f.keeper <> k.doc_id AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": MIX_SQL}
+    return {"op8_source_mixing": MIX_SQL, "op12_line_dedup": LINES_SQL}
