@@ -507,3 +507,19 @@ def test_lm_does_not_depend_on_partitions(spark):
     held = F.col("doc_id") % 10 == 0
     got = [{r["doc_id"]: r["score"] for r in lm_score.score(df.repartition(n), held).collect()} for n in (1, 5)]
     assert all(abs(got[0][i] - got[1][i]) < 1e-6 * abs(got[0][i]) for i in got[0])
+
+
+def test_runs_of_names_hosts_digits_and_signs_of_megabytes_return(spark):
+    n = 200_000
+    texts = ["Dr " + "Anna " * n, "x@" + "b." * n + "com", "x@" + "ab." * n + "com", "1" * 5 * n, "@" * 5 * n, "+1 " * n, "Dr " * n, "a:" * n, "1.2." * n, "A-" * n + "A", "Mr A." + "B." * n, "Dr A" + "a" * 5 * n, "4111 " * n]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    out = {r["row"]["doc_id"]: (r["row"]["text"], r["kinds"]) for r in pii.surrogates(df, "k").collect()}
+    assert len(out) == len(texts) and out[0][1] == ["name"] and out[0][0].endswith("Anna Anna ") and out[1] == (texts[1], [])
+
+
+def test_names_in_capitals(spark):
+    df = spark.createDataFrame([(1, "MR. JOHN SMITH met Mr Smith, MS Word and DR Meier")], "doc_id int, text string")
+    r = pii.surrogates(df, "k").first()
+    assert r["kinds"] == ["name", "name"] and "SMITH" not in r["row"]["text"] and "MS Word and DR Meier" in r["row"]["text"]
+    first, second = r["row"]["text"].split(" met ")
+    assert first.startswith("MR. ") and first.split()[-1] == second.split(",")[0].split()[-1].upper()

@@ -27,7 +27,7 @@ from tracewell.llm.common import cut
 # Patterns of entities, in the order in which they are tried.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?!\w)",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,320}+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}(?!\w)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     # 16 to 19 digits, also in groups of four; 14 and 15 as 4-6-4 and 4-6-5; 13 as 4-3-3-3; others without separators
     "card": r"(?<![\w-])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}(?:[ -]?\d{1,3})?|\d{4}[ -]?\d{6}[ -]?\d{4,5}|[2-6]\d{3}[ -]?\d{3}[ -]?\d{3}[ -]?\d{3})(?![\w-])",
@@ -44,16 +44,24 @@ ADDRESS = {
     "n": ("Dr", "Prof"),
 }
 _FORMS = "|".join(f for forms in ADDRESS.values() for f in forms)
+#: In capitals before a name in capitals; "MS" and "SR" are other words too often.
+_CAPITAL_FORMS = "|".join(f.upper() for forms in ADDRESS.values() for f in forms if f not in ("Ms", "Sr"))
 # Words inside a surname that stay as they are.
 PARTICLES = ("van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "zur", "zum", "ter", "ten", "bin", "ibn", "al", "el")
 _PARTS = "|".join(PARTICLES)
-_FULL = rf"(?!(?:{_FORMS})(?![\p{{L}}'-]))\p{{Lu}}[\p{{L}}'-]+"
-INITIAL = r"(?:\p{Lu}\.-?)+|\p{Lu}"
-#: Forms of address, then any number of names, initials and particles; the last is a name.
-PATTERNS["name"] = rf"(?<![\p{{L}}\d])(?:(?:{_FORMS})\.? )+(?:(?:{INITIAL}|{_PARTS}|{_FULL}) )*{_FULL}"
+_FULL = rf"(?!(?:{_FORMS})(?![\p{{L}}'-]))\p{{Lu}}[\p{{L}}'-]{{1,63}}(?![\p{{L}}'-])"
+INITIAL = r"(?:\p{Lu}\.-?){1,4}|\p{Lu}"
+_CAPITALS = r"\p{Lu}[\p{Lu}'-]{1,63}(?![\p{L}'-])"
+#: Up to four forms of address, then a name of at most eight words, initials and particles
+#: of which the last is a name. Groups repeat a bounded number of times, as the engine
+#: goes one call deeper for each repetition.
+PATTERNS["name"] = (
+    rf"(?<![\p{{L}}\d])(?:(?:(?:{_FORMS})\.? ){{1,4}}(?:(?:{INITIAL}|{_PARTS}|{_FULL}) ){{0,7}}{_FULL}"
+    rf"|(?:(?:{_CAPITAL_FORMS})\.? ){{1,4}}(?:(?:{INITIAL}|{_CAPITALS}) ){{0,7}}{_CAPITALS})"
+)
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Without one of these a text holds no entity.
-_HINT = rf"[0-9@]|(?:{_FORMS})\.? (?:\p{{Lu}}|(?:{_PARTS}) )"
+_HINT = rf"[0-9@]|(?:{_FORMS}|{_CAPITAL_FORMS})\.? (?:\p{{Lu}}|(?:{_PARTS}) )"
 
 # Syllables and endings of invented names, by script.
 SYLLABLES = {
@@ -187,7 +195,8 @@ def derive(kind: Column, canonical: Column, attempt: int, key: Column) -> Column
 
 def _named(word: Column) -> Column:
     """Whether a word of a found name is neither a form of address nor a particle."""
-    return ~F.regexp_replace(word, "[.]$", "").isin(*[f for forms in ADDRESS.values() for f in forms], *PARTICLES)
+    every = [x for forms in ADDRESS.values() for f in forms for x in (f, f.upper())]
+    return ~F.regexp_replace(word, "[.]$", "").isin(*every, *PARTICLES)
 
 
 def _units(v: Column, kind: Column) -> Column:
@@ -196,7 +205,7 @@ def _units(v: Column, kind: Column) -> Column:
     words = F.filter(F.split(v, " "), _named)
     gender = F.when(F.lit(False), F.lit(""))
     for g, forms in ADDRESS.items():
-        gender = gender.when(F.regexp_replace(F.split(v, " ")[0], "[.]", "").isin(*forms), F.lit(g))
+        gender = gender.when(F.regexp_replace(F.split(v, " ")[0], "[.]", "").isin(*forms, *[f.upper() for f in forms]), F.lit(g))
     roles = F.transform(words, lambda w, i: F.struct(F.when(i == F.size(words) - 1, F.lit("name_s")).otherwise(F.concat(F.lit("name_"), gender)).alias("kind"), F.lower(w).alias("canonical")))
     digits = _digits(v)
     other = (
@@ -285,7 +294,9 @@ def surrogates(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text with surrogates, in a struct ``row``; and
     the array ``kinds`` of replaced entities in order.
 
-    A null text stays null and an empty one empty, with no kinds. Repeated rows
+    A name has at most eight words of 64 letters, a host at most 127 labels, a mail
+    box at most 320 characters; of longer runs of capitalised words the first
+    eight are taken. A null text stays null and an empty one empty, with no kinds. Repeated rows
     are all returned; equal entities get equal surrogates in all of them. Columns
     keep their names, whatever they are. An empty table gives no rows. The same
     key gives the same surrogates over the same documents.
