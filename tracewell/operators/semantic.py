@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,17 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.constants import SEMANTIC_CHARS
-from tracewell.functions.scores import cosine
-from tracewell.workers import prepare
-
-TOKEN = r"(?U)\b\w\w+\b"
-
-
-def terms(text: Column, stop_words: tuple[str, ...] = (), chars: int = SEMANTIC_CHARS) -> Column:
-    """Lower-case words of two characters or more in the first ``chars`` characters."""
-    found = F.regexp_extract_all(F.lower(F.substring(F.coalesce(text, F.lit("")), 1, chars)), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
-
+from tracewell.operators.inverted import terms
+from tracewell.workers import prepare, spread_rows
 
 def _counts(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...]) -> DataFrame:
     return docs.select(key, F.explode(terms(F.col(text), stop_words)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -80,57 +72,90 @@ def pair_tfidf(pairs: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     return out
 
 
-#: Query vectors that one block holds.
+#: Query vectors of a block, which each task of the corpus gets once.
 QUERY_BLOCK = 512
 
 
-def _block_top(k: int):
-    """The k best vectors of a batch for each query of a block, by one matrix product."""
+def _against(block, k: int | None, distinct: bool):
+    """Scores of a task's vectors for a block of queries, a matrix product a batch; the best ``k`` of each query leave the task.
+
+    ``block`` broadcasts {dimension: (query ids, vectors of length one or zero)};
+    ``distinct`` leaves out vectors whose id is the query's.
+    """
+
+    def rows(ids: np.ndarray, docs: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = block.value
+        best = {dim: [(np.zeros(0, np.int64), np.zeros(0))] * len(ids) for dim, (ids, _) in queries.items()}
         for batch in it:
-            ids = np.array(batch.column("doc_id").to_pylist())
-            vectors = batch.column("dv").to_pylist()
-            blocks: dict[bytes, list[int]] = {}
-            for i, b in enumerate(batch.column("block").to_pylist()):
-                blocks.setdefault(b, []).append(i)
-            out: list[list] = [[], [], []]
-            for _, mine in sorted(blocks.items()):
-                queries = batch.column("queries")[mine[0]].as_py()
-                for dim in sorted({len(q["qv"]) for q in queries}):
-                    some = [i for i in mine if vectors[i] is not None and len(vectors[i]) == dim]
-                    asked = [q for q in queries if len(q["qv"]) == dim]
-                    if not some or not dim:
+            doc, col = batch.column("doc_id").to_numpy(), batch.column("dv")
+            flat, at = col.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(np.diff(col.offsets.to_numpy()))]
+            size = np.diff(at)
+            for dim, (ids, unit) in queries.items():
+                mine = np.flatnonzero(size == dim)
+                if not len(mine):
+                    continue
+                y = flat[at[mine][:, None] + np.arange(dim)]
+                norm = np.linalg.norm(y, axis=1)
+                score = (100.0 * (unit @ y.T) / np.where(norm == 0, 1e-9, norm)).clip(0.0, 100.0)
+                found = doc[mine]
+                for i, own in enumerate(ids):
+                    ok = found != own if distinct else slice(None)
+                    d, x = found[ok], score[i][ok]
+                    if k is None:
+                        yield rows(np.full(len(d), own), d, x)
                         continue
-                    x, y = np.array([q["qv"] for q in asked], float), np.array([vectors[i] for i in some], float)
-                    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                    score = 100.0 * (x @ y.T) / (np.where(nx == 0, 1.0, nx)[:, None] * np.where(ny == 0, 1e-9, ny)[None, :])
-                    score = np.where(nx[:, None] == 0, 0.0, score.clip(0.0, 100.0))
-                    found = ids[some]
-                    for q, row in zip(asked, score, strict=True):
-                        order = np.lexsort((found, -row))
-                        order = order[found[order] != q["query_id"]][:k]
-                        out[0] += [q["query_id"]] * len(order)
-                        out[1] += found[order].tolist()
-                        out[2] += row[order].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "doc_id", "score"])
+                    d, x = np.concatenate([best[dim][i][0], d]), np.concatenate([best[dim][i][1], x])
+                    first = np.lexsort((d, -x))[:k]
+                    best[dim][i] = d[first], x[first]
+        for dim, (ids, _) in queries.items():
+            for own, (d, x) in zip(ids, best[dim], strict=True):
+                yield rows(np.full(len(d), own), d, x)
 
     return run
 
 
+def _by_blocks(queries: DataFrame, corpus: DataFrame, k: int | None, distinct: bool) -> DataFrame:
+    """(query_id, doc_id, score) of (query_id, qv) and (doc_id, dv), all in long and array<double>.
+
+    The driver sees a block of QUERY_BLOCK query vectors at a time and sends it to
+    each task once; the corpus is read once a block.
+    """
+    spark = corpus.sparkSession
+    prepare(spark)
+    q = queries.where(F.size("qv") > 0)
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    found = []
+    for i in range(blocks):
+        some = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow().to_pylist()
+        by_dim: dict[int, tuple[list, list]] = {}
+        for r in some:
+            ids, vectors = by_dim.setdefault(len(r["qv"]), ([], []))
+            ids.append(r["query_id"])
+            vectors.append(r["qv"])
+        sent = {}
+        for dim, (ids, vectors) in by_dim.items():
+            x = np.array(vectors, float)
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            sent[dim] = ids, x / np.where(norm == 0, 1.0, norm)
+        found.append(corpus.where(F.size("dv") > 0).mapInArrow(_against(spark.sparkContext.broadcast(sent), k, distinct), "query_id long, doc_id long, score double"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _vectors(df: DataFrame, key: str, vector: str, names: tuple[str, str]) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias(names[0]), F.col(vector).cast("array<double>").alias(names[1]))
+
+
 def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_key: str = "query_id", doc_key: str = "doc_id", vector: str = "embedding") -> DataFrame:
-    """The k corpus vectors of the largest cosine for each query vector.
+    """The k corpus vectors of the largest cosine for each query vector, other than the vector of its own id.
 
-    Queries are a stated set; they are taken in blocks of QUERY_BLOCK vectors, and each
-    batch of the corpus meets a block in one matrix product and keeps k rows a query.
+    Queries are a stated set, taken in blocks. A query without a vector or with an
+    empty one has no rows; vectors of other lengths are not compared.
     """
-    prepare(corpus.sparkSession)
-    q = queries.select(F.col(query_key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("qv")).where("qv is not null")
-    n = F.greatest(F.lit(1), F.ceil(F.count("*").over(W.partitionBy()) / QUERY_BLOCK))
-    blocks = q.withColumn("block", F.pmod(F.xxhash64("query_id"), n)).groupBy("block").agg(F.collect_list(F.struct("query_id", "qv")).alias("queries"))
-    d = corpus.select(F.col(doc_key).cast("long").alias("doc_id"), F.col(vector).cast("array<double>").alias("dv")).where("dv is not null")
-    met = d.crossJoin(blocks).select("block", "queries", "doc_id", "dv")
-    return top_k(met.mapInArrow(_block_top(k), "query_id long, doc_id long, score double"), k)
+    q, d = _vectors(queries, query_key, vector, ("query_id", "qv")), _vectors(corpus, doc_key, vector, ("doc_id", "dv"))
+    return top_k(_by_blocks(q, spread_rows(d, "doc_id"), k, True), k)
 
 
 def top_k(pairs: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -158,8 +183,6 @@ def embed(docs: DataFrame, model: Callable[[list[str]], list[list[float]]] | Non
 
 
 def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, doc_id, semantic) from embedding columns, in place of TF-IDF; an empty vector scores 0."""
-    q = queries.select("query_id", F.col("embedding").alias("qv")).where(F.size("qv") > 0)
-    d = corpus.select("doc_id", F.col("embedding").alias("dv")).where(F.size("dv") > 0)
-    pairs = q.crossJoin(d).where(F.size("qv") == F.size("dv"))
-    return pairs.select("query_id", "doc_id", cosine(F.col("qv"), F.col("dv")).alias("semantic"))
+    """(query_id, doc_id, semantic) from embedding columns, in place of TF-IDF; an empty vector has no rows."""
+    q, d = _vectors(queries, "query_id", "embedding", ("query_id", "qv")), _vectors(corpus, "doc_id", "embedding", ("doc_id", "dv"))
+    return _by_blocks(q, d, None, False).withColumnRenamed("score", "semantic")

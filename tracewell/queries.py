@@ -11,6 +11,7 @@ from tracewell import constants as C
 from tracewell.functions import scores as S
 from tracewell.functions import text as T
 from tracewell.operators import store
+from tracewell.operators.inverted import best_cosines
 from tracewell.operators.retrieve import keyword_top_k, retrieve
 from tracewell.operators.semantic import pair_tfidf, tfidf_scores, vector_top_k
 from tracewell.plans import search as P
@@ -253,8 +254,7 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(
-    r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(substring(text, 1, 4000)), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
+_TFIDF = r"""WITH d AS (SELECT doc_id, unnest(regexp_extract_all(lower(substring(text, 1, 4000)), '[\p{L}\p{N}_]{2,}')) AS term FROM documents),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
     n AS (SELECT count(*) + 1 AS n FROM documents),
     qt AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, unnest(regexp_extract_all(lower(substring(text, 1, 4000)), '[\p{L}\p{N}_]{2,}')) AS term FROM benchmark) GROUP BY 1, 2),
@@ -262,13 +262,29 @@ def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     b AS (SELECT doc_id, term, tf, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS w0 FROM tf JOIN df USING (term) CROSS JOIN n),
     dn AS (SELECT doc_id, sum((tf * w0) ** 2) AS sq FROM b GROUP BY 1), qn AS (SELECT item_id, sum((qtf * w) ** 2) AS qsq FROM w GROUP BY 1),
     p AS (SELECT item_id, doc_id, sum(qtf * w * tf * w) AS dot, sum((tf * w) ** 2 - (tf * w0) ** 2) AS more FROM w JOIN b USING (term) GROUP BY 1, 2)
-    SELECT item_id AS query_id, doc_id, round(greatest(0.0, least(100.0, 100.0 * dot / sqrt(qsq * (sq + more)))), 4) AS semantic FROM p JOIN dn USING (doc_id) JOIN qn USING (item_id)"""
-)
+    """
+# Scores of 0 to 100.
+_COSINE = "greatest(0.0, least(100.0, 100.0 * dot / sqrt(qsq * (sq + more))))"
+
+
+@query(_TFIDF + f"SELECT item_id AS query_id, doc_id, round({_COSINE}, 4) AS semantic FROM p JOIN dn USING (doc_id) JOIN qn USING (item_id)")
 def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tfidf_scores(D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir))
     return out.select("query_id", "doc_id", F.round("semantic", 4).alias("semantic"))
 
 
+@query(
+    _TFIDF
+    + f"""SELECT query_id, doc_id, round(s, 4) AS semantic, CAST(r AS INT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM (
+        SELECT item_id AS query_id, doc_id, round({_COSINE}, 9) AS s FROM p JOIN dn USING (doc_id) JOIN qn USING (item_id))) WHERE r <= 10"""
+)
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the largest TF-IDF cosine of each passage, common words read for candidates alone."""
+    out = best_cosines(D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir), 10)
+    return out.select("query_id", "doc_id", F.round("semantic", 4).alias("semantic"), "rank")
+
+
 _NUM = "CASE WHEN {a} <= 0 OR {b} <= 0 THEN CASE WHEN {a} = {b} THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 100.0::DOUBLE * least({a}, {b}) / greatest({a}, {b}) END"
 
 

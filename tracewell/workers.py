@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -24,3 +24,12 @@ def prepare(spark: SparkSession | None = None) -> None:
 def spread(spark: SparkSession) -> int:
     """Partitions for rows that are few but dear, which size alone would put into one."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` to all cores where it comes from fewer files than there are cores.
+
+    Tables of many files are read by many tasks anyway and are left as they are.
+    """
+    n = spread(df.sparkSession)
+    return df.repartition(n, key) if len(df.inputFiles()) < n else df
