@@ -74,3 +74,33 @@ def test_word_files_are_rendered_in_order_with_runs_and_merged_cells(spark, tmp_
     assert got["d.docx"].split("\n", 1)[0] == "<h1>Top</h1>" and "<p>x\ty\nz</p>\n<h2>Sub</h2>\n<p>- item</p>\n" in got["d.docx"]
     rows = [["a", "a"], ["b", "c"], ["b", "d"]]
     assert files.docx_documents(files.scan(spark, str(tmp_path))).where("filename = 'd.docx'").first()["tables"][0]["cell_text"] == rows
+
+
+def test_structured_documents_of_pages(spark, tmp_path):
+    from tracewell.sources.testdata import structured_documents
+
+    html = """<html><script>var x = "<p>no</p>";</script><header>Top <b>line</b></header><p>Before.</p><h1>One</h1><p>First  part.</p>
+    <ul><li>a</li><li>b c</li></ul><h2>Two</h2><table><tr><th>H1</th><th>H2</th></tr><tr><td>1</td><td>2</td></tr></table><footer>End</footer></html>"""
+    rows = [(1, "http://x/y/a.html", html), (2, "http://x/b", None), (3, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["doc_id"]: r for r in structured_documents(spark, str(tmp_path)).collect()}
+    d = got[1]
+    assert d["headings"] == ["One", "Two"] and d["paragraphs"] == ["Before.", "First part."] and d["lists"] == ["a", "b c"]
+    assert d["headers_footers"] == ["Top line", "End"] and d["filename"] == "a.html" and d["section_count"] == 3
+    t = d["tables"][0]
+    assert (t["rows"], t["cols"], t["headers"], t["flat_text"]) == (2, 2, ["H1", "H2"], "H1 H2 1 2") and t["cell_text"] == [["H1", "H2"], ["1", "2"]]
+    assert [p["text"] for p in d["pages"]] == ["Top line Before.", "One First part. a b c", "Two H1 H2 1 2 End"] and d["page_count"] == 3
+    assert d["pages"][2]["headings"] == ["Two"] and len(d["pages"][2]["tables"]) == 1 and "no" not in d["full_text"].split()
+    assert got[2]["full_text"] == got[3]["full_text"] == "" and got[2]["headings"] == []
+
+
+def test_structured_pages_are_compared_by_all_their_parts(spark):
+    from tracewell.queries import structured_search
+
+    rows = structured_search(spark, "/root/testdata/sf0.001").collect()
+    own = [r for r in rows if r["query_id"] == r["doc_id"]]
+    assert len(rows) == 15 and len(own) == 3
+    for r in own:
+        scores = r["component_scores"]
+        assert r["verified_source"] and not r["rejected"] and r["overall_score"] == r["text_coverage"] == r["front_coverage"] == 100
+        assert scores["headings"] == scores["paragraphs"] == scores["headers_footers"] == scores["structure"] == 100

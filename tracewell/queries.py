@@ -361,6 +361,15 @@ def deep_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.search(D.benchmark_queries(spark, sf_dir), D.documents(spark, sf_dir))
 
 
+@query()
+def structured_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages with headings, tables, lists and headers compared in depth: those with an id divisible by 20 as queries
+    against all pages, by the first of their parts (the front page) and as a whole."""
+    d = D.structured_documents(spark, sf_dir)
+    q = d.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return P.search(q, d, max_candidates=5)
+
+
 @query()
 def source_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: accepted sources of each passage, best five, as report lines."""
