@@ -98,3 +98,47 @@ def test_a_stored_index_opens_only_changed_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(indexing, "INDEX_VERSION", indexing.INDEX_VERSION + 1)
     told.clear()
     assert len(run()) == 2 and told[0][1] == 2
+
+
+def changes(spark, batch, keys, action="upsert"):
+    return spark.createDataFrame([(k, batch, f"v{batch}", action) for k in keys], "k int, version int, value string, action string")
+
+
+def test_bytes_written_follow_the_batches_and_a_repeated_batch_writes_nothing(spark, tmp_path):
+    folder = tmp_path / "index"
+    sink, want, written = IndexSink(f"file://{folder}", "k", ["version"]), {}, []
+
+    def files():
+        return {p: p.stat().st_size for p in folder.rglob("*.parquet")}
+
+    for batch in range(9):
+        keys = range(4000) if not batch else [batch, batch + 1, batch + 1, 5000 + batch]
+        before = set(files()) if batch else set()
+        sink(changes(spark, batch, keys), batch)
+        written.append(sum(size for p, size in files().items() if p not in before))
+        want |= dict.fromkeys(keys, f"v{batch}")
+        assert len(sink.runs(spark)) <= 5
+    assert {r["k"]: r["value"] for r in live(sink.state(spark)).collect()} == want
+    assert max(written[1:]) < written[0] / 2
+    before = files()
+    sink(changes(spark, 99, range(10)), 8)
+    assert files() == before and {r["k"]: r["value"] for r in live(sink.state(spark)).collect()} == want
+    sink(changes(spark, 100, [1, 2, 5001], "delete"), 9)
+    assert {r["k"] for r in live(sink.state(spark)).collect()} == set(want) - {1, 2, 5001}
+
+
+def test_a_batch_that_fails_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    sink = IndexSink(f"file://{tmp_path}/index", "k", ["version"])
+    sink(changes(spark, 0, [1, 2]), 0)
+    held = sink.state(spark)
+    with monkeypatch.context() as m:
+        m.setattr(sink, "_publish", lambda *a: 1 / 0)
+        try:
+            sink(changes(spark, 1, [2, 3]), 1)
+        except ZeroDivisionError:
+            pass
+    assert {r["k"]: r["value"] for r in sink.state(spark).collect()} == {1: "v0", 2: "v0"}
+    sink(changes(spark, 1, [2, 3]), 1)
+    assert {r["k"]: r["value"] for r in sink.state(spark).collect()} == {1: "v0", 2: "v1", 3: "v1"}
+    # A reader that opened the version before still finds its files.
+    assert {r["k"]: r["value"] for r in held.collect()} == {1: "v0", 2: "v0"}
