@@ -184,5 +184,7 @@ def embed(docs: DataFrame, model: Callable[[list[str]], list[list[float]]] | Non
 
 def vector_scores(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, doc_id, semantic) from embedding columns, in place of TF-IDF; an empty vector has no rows."""
-    q, d = _vectors(queries, "query_id", "embedding", ("query_id", "qv")), _vectors(corpus, "doc_id", "embedding", ("doc_id", "dv"))
-    return _by_blocks(q, d, None, False).withColumnRenamed("score", "semantic")
+    keyed = queries.select("query_id", F.xxhash64("query_id").alias("key"), "embedding")  # query ids of any type
+    q, d = _vectors(keyed, "key", "embedding", ("query_id", "qv")), _vectors(corpus, "doc_id", "embedding", ("doc_id", "dv"))
+    found = _by_blocks(q, d, None, False).withColumnRenamed("query_id", "key")
+    return found.join(keyed.select("query_id", "key"), "key").select("query_id", "doc_id", F.col("score").alias("semantic"))
