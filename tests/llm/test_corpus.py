@@ -523,3 +523,36 @@ def test_names_in_capitals(spark):
     assert r["kinds"] == ["name", "name"] and "SMITH" not in r["row"]["text"] and "MS Word and DR Meier" in r["row"]["text"]
     first, second = r["row"]["text"].split(" met ")
     assert first.startswith("MR. ") and first.split()[-1] == second.split(",")[0].split()[-1].upper()
+
+
+def test_features_of_texts_that_span_segments(monkeypatch):
+    texts = [b"Ab 1!\n", None, b"", b"x" * 5000 + b" \xc3\xa9", b"? <a>", b"9" * 64]
+    want = quality.features(texts)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(quality, "SEGMENT_BYTES", size)
+        assert (quality.features(texts) == want).all()
+    lens = np.array([len(t or b"") for t in texts])
+    got = quality._class_counts(np.frombuffer(b"".join(t or b"" for t in texts), np.uint8), lens)
+    assert got.sum(1).tolist() == lens.tolist() and got[0].tolist()[:5] == [1, 1, 1, 1, 1]
+
+
+def test_grams_of_a_long_text_piece_by_piece(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abÉ ß1.,\n½") for _ in range(n)) for n in (0, 1, 5, 60, 400)] + ["x" * 300, " " * 50, "1 2 3", "a"]
+    for text in texts:
+        want = Counter(k for key, _, _ in lang_id._grams([text], lang_id.ORDERS, 1 << 15) for k in key.tolist())
+        for size in (1, 3, 10):
+            monkeypatch.setattr(lang_id, "SEGMENT_CHARS", size)
+            assert "".join(lang_id._pieces(text)) == text
+            got = Counter(k for key in lang_id._long_grams(text, lang_id.ORDERS, 1 << 15) for k in key.tolist())
+            # A text without letters is two blanks for one and a blank for the other; neither is scored.
+            assert got == want or not lang_id._has_letter(text)
+
+
+def test_a_long_text_scores_as_its_short_form(spark, monkeypatch):
+    df = spark.createDataFrame([("the cat and the dog", "en"), ("der hund und die katze", "de")], "text string, lang string")
+    model = lang_id.fit(df)
+    texts = ["und die und der " * 200, "the dog " * 300]
+    want = model.posteriors(texts)
+    monkeypatch.setattr(lang_id, "SEGMENT_CHARS", 50)
+    assert np.allclose(model.posteriors(texts), want) and want.argmax(1).tolist() == [0, 1]

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import blocks, mix64, prepare
+from tracewell.llm.common import lean, mix64, prepare, text_blocks
 
 #: Hash buckets; the n-gram lengths; the most languages that a model holds.
 BUCKETS, ORDERS, MAX_LANGS = 1 << 15, (1, 2, 3, 4), 1000
@@ -61,18 +63,65 @@ def _grams(texts: list[str], orders: tuple[int, ...], buckets: int):
                 yield key[keep[: len(key)]], room, first
 
 
+#: Characters of a longer text that are cleaned and hashed at once.
+SEGMENT_CHARS = 1 << 18
+_SPACE = re.compile(r"\s")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """A text in parts that end at white space, or whole where it has none behind SEGMENT_CHARS."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + SEGMENT_CHARS)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _long_grams(text: str, orders: tuple[int, ...], buckets: int) -> Iterator[np.ndarray]:
+    """Bucket ids of one long text, the same n-grams as ``_grams`` has, piece by piece.
+
+    A piece is hashed behind the last characters of what came before it, and those
+    n-grams count that end in the piece.
+    """
+    carry = np.zeros(0, np.uint64)
+    for part in chain([" "], (" ".join([*_WORDS.findall(_plain(p.lower())), ""]) for p in _pieces(text)), [""]):
+        codes = np.concatenate([carry, np.frombuffer(part.encode("utf-32-le"), np.uint32).astype(np.uint64)])
+        h = np.zeros(len(codes), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(min(max(orders), len(codes))):
+                h = h[: len(codes) - k] * np.uint64(0x100000001B3) + codes[k:]
+                if k + 1 in orders:
+                    new = h[max(0, len(carry) - k) :]
+                    yield (mix64(new + np.uint64(k + 1)) & np.uint64(buckets - 1)).astype(np.int64)
+        carry = codes[max(0, len(codes) - max(orders) + 1) :]
+
+
+def _has_letter(text: str) -> bool:
+    return any(_LETTER.search(_plain(p)) for p in _pieces(text))
+
+
+def _texts(col: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(first, last + 1, texts) of blocks of rows; a null is an empty text. A long text is alone in its block."""
+    for lo, hi, raw in text_blocks(col):
+        yield lo, hi, [t.decode("utf-8", "replace") if t else "" for t in raw]
+
+
 def _counts(orders: tuple[int, ...], buckets: int):
     def run(it):
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for batch in it:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for lo, hi, texts, column in ((*x, batch.column(1)) for batch in it for x in _texts(batch.column(0))):
+            langs = column.slice(lo, hi - lo).to_pylist()
             for lang in sorted(set(langs)):
                 mine = [t for t, x in zip(texts, langs, strict=True) if x == lang]
                 total = sums.setdefault(lang, np.zeros(buckets, np.int64))
                 docs[lang] = docs.get(lang, 0) + len(mine)
-                for lo, hi in blocks(mine):
-                    for key, _, _ in _grams(mine[lo:hi], orders, buckets):
+                short = [t for t in mine if len(t) <= SEGMENT_CHARS]
+                for key, _, _ in _grams(short, orders, buckets) if short else ():
+                    total += np.bincount(key, minlength=buckets)
+                for t in mine:
+                    for key in _long_grams(t, orders, buckets) if len(t) > SEGMENT_CHARS else ():
                         total += np.bincount(key, minlength=buckets)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
@@ -93,6 +142,18 @@ class Model:
     def posteriors(self, texts: list[str]) -> np.ndarray:
         """Log joint probability of each text and language."""
         out = np.tile(self.prior, (len(texts), 1))
+        for i, t in enumerate(texts):
+            if len(t) > SEGMENT_CHARS:
+                for key in _long_grams(t, self.orders, len(self.table)):
+                    # As many rows of the table as there are buckets, however long the text.
+                    out[i] += np.bincount(key, minlength=len(self.table)) @ self.table
+        short = [i for i, t in enumerate(texts) if len(t) <= SEGMENT_CHARS]
+        if short:
+            out[short] += self._short([texts[i] for i in short])
+        return out
+
+    def _short(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.langs)))
         for key, room, _ in _grams(texts, self.orders, len(self.table)):
             starts = np.concatenate([[0], np.cumsum(room)[:-1]])
             full = room > 0
@@ -114,7 +175,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", orders:
     base = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     if base.select("lang").distinct().limit(MAX_LANGS + 1).count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    counts = base.mapInArrow(_counts(orders, buckets), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = base.mapInArrow(lean(_counts(orders, buckets)), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     sums: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
     for r in counts.toArrow().to_pylist():
@@ -135,17 +196,14 @@ def _predict(model_bc, unknown: str):
     def run(it):
         model = model_bc.value
         for batch in it:
-            texts = [t or "" for t in batch.column(-1).to_pylist()]
-            lang, score = [unknown] * len(texts), [0.0] * len(texts)
-            able = [i for i, t in enumerate(texts) if _LETTER.search(_plain(t))] if model.langs else []
-            some = [texts[i] for i in able]
-            for lo, hi in blocks(some):
-                joint = model.posteriors(some[lo:hi])
+            lang, score = [unknown] * batch.num_rows, [0.0] * batch.num_rows
+            for lo, _, texts in _texts(batch.column(-1)) if model.langs else ():
+                able = [i for i, t in enumerate(texts) if _has_letter(t)]
+                joint = model.posteriors([texts[i] for i in able])
                 best = joint.argmax(1)
-                share = np.exp(joint - joint.max(1, keepdims=True))
-                p = 1.0 / share.sum(1)
-                for i, b, s in zip(able[lo:hi], best.tolist(), p.tolist(), strict=True):
-                    lang[i], score[i] = model.langs[b], s
+                p = 1.0 / np.exp(joint - joint.max(1, keepdims=True)).sum(1)
+                for i, b, s in zip(able, best.tolist(), p.tolist(), strict=True):
+                    lang[lo + i], score[lo + i] = model.langs[b], s
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())],
                 [*batch.schema.names[:-1], "lang_pred", "score"],
@@ -165,4 +223,4 @@ def identify(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: s
     prepare(spark)
     base = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
-    return base.mapInArrow(_predict(spark.sparkContext.broadcast(model), UNKNOWN), f"{schema}, lang_pred string, score double")
+    return base.mapInArrow(lean(_predict(spark.sparkContext.broadcast(model), UNKNOWN)), f"{schema}, lang_pred string, score double")
