@@ -101,11 +101,13 @@ def _contexts(classes: np.ndarray, lens: np.ndarray, start: int) -> tuple[np.nda
     return one, two
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by their numbers ``at``, of 0..n-1."""
+def _sums(at: np.ndarray, rows: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
+    """Sums of ``rows`` by their numbers ``at``, of 0..n-1; into ``out`` where given."""
     dim = rows.shape[1]
-    flat = (at.astype(np.int64)[:, None] * dim + np.arange(dim)).ravel()
-    return np.bincount(flat, rows.ravel(), n * dim).reshape(n, dim).astype(np.float32)
+    out = np.empty((n, dim), np.float32) if out is None else out
+    out.fill(0)
+    np.add.at(out.reshape(-1), (at.astype(np.int64)[:, None] * dim + np.arange(dim)).ravel(), rows.ravel())
+    return out
 
 
 NAMES = ("R", "C1", "C2", "Q", "b")
@@ -138,20 +140,25 @@ def unpack_parameters(raw: bytes, classes: int, dim: int = DIM) -> dict[str, np.
 
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad steps."""
+    """Noise-contrastive estimation with Adagrad steps.
+
+    Parameters, their summed squares and gradients lie in one array each, so a step
+    is a few operations on whole arrays.
+    """
 
     def __init__(self, params: dict[str, np.ndarray], class_n: np.ndarray, seed: int):
-        self.p = params
-        self.sq = {n: np.full_like(v, 1e-2) for n, v in params.items()}
+        self.flat = np.concatenate([params[n].ravel() for n in NAMES]).astype(np.float32)
+        self.sq, self.grad, self.work = np.full_like(self.flat, 1e-2), np.zeros_like(self.flat), np.empty_like(self.flat)
+        self.p, self.g, at = {}, {}, 0
+        for n in NAMES:
+            size = params[n].size
+            self.p[n], self.g[n] = (x[at : at + size].reshape(params[n].shape) for x in (self.flat, self.grad))
+            at += size
         q = class_n / class_n.sum()
         self.cum, self.log_kq = np.cumsum(q), np.log(NOISE * q).astype(np.float32)
         self.rng = np.random.default_rng(seed)
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def _step(self, name: str, grad: np.ndarray) -> None:
-        self.sq[name] += grad * grad
-        self.p[name] += RATE * grad / np.sqrt(self.sq[name])
-
     def train(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         """Take tokens and their contexts; parts have HELD_TOKENS, so blocks of texts play no part."""
         self.held.append(tuple(x.astype(np.int16) for x in (w, one, two)))
@@ -169,33 +176,51 @@ class Trainer:
         cols = [np.concatenate(x) for x in zip(*self.held, strict=True)]
         while len(cols[0]) >= least:
             part, cols = [x[:HELD_TOKENS] for x in cols], [x[HELD_TOKENS:] for x in cols]
+            starts = range(0, len(part[0]), BATCH)
             for _ in range(PASSES):
-                for lo in range(0, len(part[0]), BATCH):
-                    self._batch(*(x[lo : lo + BATCH] for x in part))
+                for at in range(0, len(starts), 256):  # noise for many batches at once
+                    some = starts[at : at + 256]
+                    noise = np.minimum(np.searchsorted(self.cum, self.rng.random((len(some), NOISE))), len(self.cum) - 1)
+                    for lo, x in zip(some, noise, strict=True):
+                        self._batch(*(c[lo : lo + BATCH] for c in part), x)
         self.held = [tuple(x.copy() for x in cols)]
 
-    def _batch(self, w, one, two) -> None:
-        p = self.p
-        noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), len(self.cum) - 1)
+    def _batch(self, w, one, two, noise) -> None:
+        p, g = self.p, self.g
         r1, r2 = p["R"][one], p["R"][two]
-        hat = r1 @ p["C1"] + r2 @ p["C2"]
+        hat = r1 @ p["C1"]
+        hat += r2 @ p["C2"]
         qw, qx = p["Q"][w], p["Q"][noise]
         pos = np.einsum("ij,ij->i", hat, qw) + p["b"][w] - self.log_kq[w]
-        neg = hat @ qx.T + p["b"][noise] - self.log_kq[noise]
+        neg = hat @ qx.T
+        neg += p["b"][noise] - self.log_kq[noise]
         # gradients of log sigmoid(pos) + sum log sigmoid(-neg), averaged over the batch
         gp = (1 / (1 + np.exp(np.clip(pos, -30, 30)))) / len(w)
-        gn = -(1 / (1 + np.exp(-np.clip(neg, -30, 30)))) / len(w)
-        d_hat = gp[:, None] * qw + gn @ qx
+        gn = _logistic(neg)
+        gn *= np.float32(-1 / len(w))
+        d_hat = gp[:, None] * qw
+        d_hat += gn @ qx
         target = np.concatenate([w, noise])
-        g = {
-            "R": _sums(np.concatenate([one, two]), np.concatenate([d_hat @ p["C1"].T, d_hat @ p["C2"].T]), len(p["R"])),
-            "C1": r1.T @ d_hat,
-            "C2": r2.T @ d_hat,
-            "Q": _sums(target, np.concatenate([gp[:, None] * hat, gn.T @ hat]), len(p["Q"])),
-            "b": np.bincount(target, np.concatenate([gp, gn.sum(0)]), len(p["b"])).astype(np.float32),
-        }
-        for n in NAMES:
-            self._step(n, g[n])
+        _sums(np.concatenate([one, two]), np.concatenate([d_hat @ p["C1"].T, d_hat @ p["C2"].T]), len(p["R"]), g["R"])
+        np.matmul(r1.T, d_hat, out=g["C1"])
+        np.matmul(r2.T, d_hat, out=g["C2"])
+        _sums(target, np.concatenate([gp[:, None] * hat, gn.T @ hat]), len(p["Q"]), g["Q"])
+        g["b"][:] = np.bincount(target, np.concatenate([gp, gn.sum(0)]), len(p["b"]))
+        np.multiply(self.grad, self.grad, out=self.work)
+        self.sq += self.work
+        np.sqrt(self.sq, out=self.work)
+        np.divide(self.grad, self.work, out=self.work)
+        self.work *= np.float32(RATE)
+        self.flat += self.work
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)) in place, x within -30 to 30."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _train(vocab, params: bytes, seed: int):
