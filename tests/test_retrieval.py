@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tracewell.functions import fuzzy
 from tracewell.operators import inverted
+from tracewell.operators import retrieve as R
 from tracewell.operators.retrieve import code_boosts, keyword_top_k, retrieve
 from tracewell.operators.semantic import pair_tfidf, tfidf_scores, top_k
 from tracewell.sources.testdata import as_documents, benchmark_queries, documents
@@ -128,3 +131,22 @@ def test_adjacent_pages_are_spread_over_all_cores(spark):
 
     for name in ("fuzzy_structure", "ordered_lists"):
         assert "RepartitionByExpression" in plans(QUERIES[name](spark, SF)), name
+
+
+def test_letters_bound_scores():
+    rng = random.Random(8)
+    texts = ["", " ", *(" ".join(rng.choices(["cat", "Mat", "hat", "sits", "é", "\U0001f600", "of", "x9"], k=rng.randint(1, 30))) for _ in range(40))]
+    held = [R.Counted(t) for t in texts]
+    counts = R.Counts(held)
+    at = [(i, j) for i in range(len(texts)) for j in range(len(texts))]
+    x, y = (np.array(c) for c in zip(*at, strict=True))
+    both = [held[i].text.set & held[j].text.set for i, j in at]
+    sect = np.array([sum(map(len, b)) + max(0, len(b) - 1) for b in both])
+    sets = counts.set_limit(x, counts, y, sect, np.array([len(b) for b in both]))
+    plain, by_order = counts.ratio_limits(x, counts, y)
+    for n, (i, j) in enumerate(at):
+        low, _ = held[i].text.bounds(held[j].text)
+        assert max(low, sets[n]) >= fuzzy.token_set_ratio(texts[i], texts[j]) - 1e-9
+        if texts[i].strip() and texts[j].strip():
+            assert plain[n] >= fuzzy.ratio(texts[i], texts[j]) - 1e-9 and by_order[n] >= fuzzy.token_sort_ratio(texts[i], texts[j]) - 1e-9
+    assert plain.min() < 80
