@@ -556,3 +556,14 @@ def test_a_long_text_scores_as_its_short_form(spark, monkeypatch):
     want = model.posteriors(texts)
     monkeypatch.setattr(lang_id, "SEGMENT_CHARS", 50)
     assert np.allclose(model.posteriors(texts), want) and want.argmax(1).tolist() == [0, 1]
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    # All rows but the ones of one id say that shouting is good; there are more of them than any sample held.
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "calm text, as it is.").otherwise("BUY!!! $$$ now").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"))
+    first = labels.orderBy(F.xxhash64("doc_id")).limit(20_000).select("doc_id").withColumn("first", F.lit(True))
+    labels = labels.join(first, "doc_id", "left").select("doc_id", F.when(F.col("first"), F.lit(1)).otherwise(F.col("quality")).alias("quality"))
+    ranking = quality.fit(docs, labels, F.lit(True))
+    assert np.abs(ranking.weights).max() > 0

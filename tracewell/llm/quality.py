@@ -8,16 +8,22 @@ between accepted and rejected is a quantile of the training documents' scores.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import SEGMENT_BYTES, blocks, hash_words, lean, prepare, text_blocks
+from tracewell.llm.common import SEGMENT_BYTES, Tables, blocks, hash_words, lean, prepare, text_blocks
+from tracewell.workers import spread
 
-#: Labelled rows that fitting uses at most, those with the smallest hash of the
-#: id; preference pairs drawn from them.
-FIT_ROWS, FIT_PAIRS = 20_000, 200_000
+#: Preference pairs that few labelled rows make; more rows make PARTNERS pairs a row.
+FIT_PAIRS, PARTNERS = 200_000, 4
+#: Labelled rows a task has at least: rows of one block prefer to each other.
+BLOCK_ROWS = 5_000
+#: Steps of the fit, and bins by which quantiles of scores are found.
+STEPS, BINS = 25, 1 << 14
 
 _CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
@@ -109,68 +115,165 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(self.slope * (self.raw(x) - self.cut), -30, 30)))
 
 
-def fit_ranking(x: np.ndarray, y: np.ndarray, pairs: int = FIT_PAIRS, seed: int = 7, steps: int = 400, l2: float = 1e-4) -> Ranking:
-    """Bradley-Terry by accelerated gradient descent on preference pairs.
+#: A function of the features and labels of a block, and the sum of its results over all blocks.
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Total = Callable[[Part], np.ndarray]
+
+
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(y), (y == 0).sum()], x.sum(0)])
+
+
+def _squares(mean: np.ndarray) -> Part:
+    return lambda x, y: ((x - mean) ** 2).sum(0)
+
+
+def _preferences(mean: np.ndarray, scale: np.ndarray, w: np.ndarray, partners: int) -> Part:
+    """Pairs, loss, gradient and second derivatives of a block: each row meets ``partners`` rows of the other label."""
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        k = len(w)
+        z = ((x - mean) / scale).clip(-8, 8)
+        good, bad = z[y == 1], z[y == 0]
+        out = [np.zeros(2 + k + k * k)]
+        m = max(len(good), len(bad)) if len(good) and len(bad) else 0
+        i = np.arange(m)
+        for s in range(min(partners, len(good), len(bad)) if m else 0):
+            # Shifting the shorter side gives other pairs each time.
+            shift = s * max(1, min(len(good), len(bad)) // partners)
+            ahead = (shift, 0) if len(good) < len(bad) else (0, shift)
+            d = good[(i + ahead[0]) % len(good)] - bad[(i + ahead[1]) % len(bad)]
+            t = d @ w
+            p = 1 / (1 + np.exp(np.clip(t, -30, 30)))  # chance of the other order
+            out.append(np.concatenate([[m, np.logaddexp(0, -t).sum()], d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()]))
+        return np.sum(out, 0)
+
+    return part
+
+
+def _histogram(r: Ranking, lo: float, hi: float) -> Part:
+    """Rows of label 0 and of label 1 in each bin of raw scores between lo and hi, with what is below and above."""
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at = np.clip(np.floor((r.raw(x) - lo) / (hi - lo) * BINS).astype(np.int64) + 1, 0, BINS + 1)
+        return np.bincount(np.minimum(y, 1) * (BINS + 2) + at, minlength=2 * (BINS + 2)).astype(float)
+
+    return part
+
+
+def _learn(total: Total, l2: float = 1e-4) -> Ranking:
+    """Bradley-Terry by Newton's method on the preference pairs of all rows.
 
     The cut is the quantile of training scores at the share of rows labelled 0.
     With one label only there are no pairs: the weights are 0, and all rows
     score 1 (or 0.0 where only label 0 was seen).
     """
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return Ranking(mean, scale, np.zeros(x.shape[1]), -1.0 if len(good) else 1.0, 30.0)
-    rng = np.random.default_rng(seed)
-    z = ((x - mean) / scale).clip(-8, 8)
-    diff = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = ahead = np.zeros(x.shape[1])
-    step = 4.0 / max(1e-9, np.linalg.norm(diff.T @ diff / pairs, 2) + 4 * l2)
-    for i in range(steps):
-        p = 1 / (1 + np.exp(np.clip(diff @ ahead, -30, 30)))  # chance of the other order
-        new = ahead + step * (diff.T @ p / pairs - l2 * ahead)
-        ahead, w = new + i / (i + 3) * (new - w), new
-    raw = z @ w
-    cut = float(np.quantile(raw, len(bad) / len(y)))
+    n, bad, *sums = total(_moments)
+    k = len(sums)
+    if not n:
+        return Ranking(np.zeros(k), np.ones(k), np.zeros(k), -1.0, 30.0)
+    mean = np.array(sums) / n
+    scale = np.maximum(np.sqrt(total(_squares(mean)) / n), 1e-6)
+    if bad in (0, n):
+        return Ranking(mean, scale, np.zeros(k), 1.0 if bad else -1.0, 30.0)
+    partners = int(np.clip(FIT_PAIRS // n, PARTNERS, 64))
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The regular mean loss and its derivatives."""
+        pairs, loss, *rest = total(_preferences(mean, scale, w, partners))
+        pairs = max(pairs, 1.0)
+        g, h = np.array(rest[:k]) / pairs - l2 * w, np.array(rest[k:]).reshape(k, k) / pairs + l2 * np.eye(k)
+        return loss / pairs + l2 / 2 * w @ w, g, h
+
+    w, step = np.zeros(k), 1.0
+    loss, g, h = at(w)
+    for _ in range(STEPS):
+        move = step * np.linalg.solve(h, g)
+        new = at(w + move)
+        if new[0] > loss:
+            step /= 2
+            continue
+        near, w, step = loss - new[0] < 1e-7, w + move, min(1.0, 2 * step)
+        loss, g, h = new
+        if near:
+            break
+    r = Ranking(mean, scale, w, 0.0, 1.0)
+    reach = 8 * np.abs(w).sum() + 1e-9
+    whole = total(_histogram(r, -reach, reach)).reshape(2, -1)
+
+    def place(rank: float) -> float:
+        """The raw score of a rank, found in a bin of a bin."""
+        lo, hi, counts = -reach, reach, whole
+        for more in (True, False):
+            bin_ = int(np.clip(np.searchsorted(np.cumsum(counts.sum(0)), rank, "right") - 1, 0, BINS - 1))
+            lo, hi = (lo + (hi - lo) / BINS * i for i in (bin_, bin_ + 1))
+            if more:
+                counts = total(_histogram(r, lo, hi)).reshape(2, -1)
+        return (lo + hi) / 2
+
+    before, after = place(bad - 1), place(bad)
+    cut = before + (1 - bad / n) * (after - before)
     # the slope makes scores probabilities: logistic fit of the label on raw - cut
-    slope = 1.0
+    raw = -reach + (np.arange(BINS + 2) - 0.5) * 2 * reach / BINS - cut
+    slope, rows = 1.0, whole.sum(0)
     for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(slope * (raw - cut), -30, 30)))
-        g = ((y - q) * (raw - cut)).mean()
-        hess = (q * (1 - q) * (raw - cut) ** 2).mean() + 1e-6
+        q = 1 / (1 + np.exp(-np.clip(slope * raw, -30, 30)))
+        g = ((whole[1] - rows * q) * raw).sum() / n
+        hess = (rows * q * (1 - q) * raw**2).sum() / n + 1e-6
         slope = float(np.clip(slope + g / hess, 0.05, 50))
     return Ranking(mean, scale, w, cut, slope)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> Ranking:
-    """Learn from labelled documents for which ``train`` (on the labels) holds.
+def fit_ranking(x: np.ndarray, y: np.ndarray) -> Ranking:
+    """``_learn`` from rows that are at hand."""
+    return _learn(lambda part: part(x, np.asarray(y)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality") -> Ranking:
+    """Learn from all labelled documents for which ``train`` (on the labels) holds.
 
-    At most ``fit_rows`` labels are used, those with the smallest hash of the id;
-    null ids and labels are left out. These few ids meet the documents by a
-    broadcast join. Of documents that share an id the least text counts, so there
-    are no more rows than labels, however often an id repeats.
+    Null ids and labels are left out. Documents meet their labels as features, which
+    are written once; each step of the fit is a pass over them, of which a task
+    returns sums. Of documents that share an id the least features count, so
+    there are no more rows than labels, however often an id repeats.
     """
-    prepare(docs.sparkSession)
-    sample = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train)
-        .select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
-        .orderBy(F.xxhash64("id"), "id", "y")
-        .limit(fit_rows)
-    )
-    held = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
-    held = held.groupBy("id", "y").agg(F.min("text").alias("text"))
+    spark = docs.sparkSession
+    prepare(spark)
+    tables = Tables(spark)
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train)
+    known = known.select(F.col(id_col).cast("long").alias("id"), F.least(F.col(label_col).cast("int"), F.lit(1)).alias("y")).distinct()
 
-    def run(it):
+    def counted(it):
         for batch in it:
-            blocked = [features(texts) for _, _, texts in text_blocks(batch.column("text"))]
-            x = np.concatenate(blocked) if blocked else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
-
-    got = held.select("id", "text", "y").mapInArrow(lean(run), "id long, y int, x array<double>").orderBy("id", "y").toArrow()
-    if not got.num_rows:
-        return Ranking(np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), -1.0, 30.0)
-    x = np.array(got.column("x").to_pylist())
-    y = np.minimum(np.array(got.column("y").to_pylist()), 1)
-    return fit_ranking(x, y)
+            for lo, hi, texts in text_blocks(batch.column("text")):
+                x = features(texts)
+                held = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), held], ["id", "x"])
+
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    read = read.mapInArrow(lean(counted), "id long, x array<double>").join(known, "id")
+    rows = tables.cut(read.groupBy("id", "y").agg(F.min("x").alias("x")))
+    n = max(1, min(spread(spark), rows.count() // BLOCK_ROWS))
+    rows = tables.cut(rows.repartition(n, F.xxhash64("id")).sortWithinPartitions(F.xxhash64("id"), "id", "y"))
+
+    def total(part: Part) -> np.ndarray:
+        def run(it):
+            sums = part(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))
+            for batch in it:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+                sums = sums + part(x, batch.column("y").to_numpy(zero_copy_only=False))
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["at", "n"])
+
+        size = len(part(np.zeros((0, len(FEATURES))), np.zeros(0, np.int64)))
+        got = rows.select("x", "y").mapInArrow(lean(run), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(size)
+        out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        return out
+
+    ranking = _learn(total)
+    tables.drop(rows)
+    return ranking
 
 
 def rate(docs: DataFrame, ranking: Ranking, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
