@@ -347,6 +347,55 @@ def test_passages_with_many_edits_are_found(spark):
     assert [found[i] for i in range(3)] == [20, 20, 20] and found[3] >= 15
 
 
+def test_short_passages_with_random_edits_are_found(spark):
+    rng = random.Random(29)
+    text = lambda n: [f"w{rng.randrange(20_000)}" for _ in range(n)]
+
+    def edited(part, rate):
+        while True:
+            out = []
+            for w in part:
+                kind = rng.randrange(3) if rng.random() < rate else 3
+                out += {0: [f"e{rng.randrange(10**6)}"], 1: [], 2: [w, f"e{rng.randrange(10**6)}"], 3: [w]}[kind]
+            if len(out) >= 50 and passages.lcs_length(part, out) >= 0.81 * max(len(part), len(out)):
+                return out
+
+    docs, rates = {}, (0.05, 0.10, 0.15)
+    for g in range(120):
+        part = text(60)
+        docs |= {2 * g: text(60) + part + text(60), 2 * g + 1: text(40) + edited(part, rates[g % 3]) + text(50)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(4)
+    pairs = {tuple(sorted((r["doc_id"], r["other_id"]))) for r in passages.repeated_passages(df).collect()}
+    assert all(b == a + 1 and a % 2 == 0 for a, b in pairs)
+    found = Counter(a // 2 % 3 for a, _ in pairs)
+    assert min(found[i] for i in range(3)) >= 36, found
+
+
+def test_all_places_of_shared_seeds_meet_first_and_last_document():
+    rng = np.random.default_rng(3)
+    seed, doc = rng.integers(0, 60, 400).astype(np.uint64), np.sort(rng.integers(0, 25, 400))
+    w = np.arange(400)
+    at = {}
+    for s, d, i in zip(seed.tolist(), doc.tolist(), w.tolist(), strict=True):
+        at.setdefault(s, {}).setdefault(d, []).append(i)
+    want = []
+    for of in (of for of in at.values() if len(of) > 1):
+        lo, hi = of[min(of)], of[max(of)]
+        for d, places in of.items():
+            for n, i in enumerate(places):
+                to_hi = n >= len(hi) if d == min(of) else d != max(of)
+                first = i if d == min(of) else lo[n % len(lo)]
+                want.append((d, i, min(of), first, max(of) if to_hi else -1, hi[n % len(hi)] if to_hi else 0, len(lo) == 1))
+    order = rng.permutation(400)
+    got = passages.meet(seed[order], doc[order], w[order])
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
+    # every seed that is there twice is kept, whatever shares its slot
+    keep = set(passages.repeats(seed, 4).tolist())
+    assert keep >= {i for i, s in enumerate(seed.tolist()) if (seed == s).sum() > 1}
+    words = rng.integers(0, 1 << 63, 9).astype(np.uint64)
+    assert passages.unpacked_words(passages.packed_words(words)).tolist() == [int(x) & (1 << 48) - 1 for x in words]
+
+
 def test_chains_equal_quadratic_dynamic_programming():
     rng = random.Random(12)
     for _ in range(60):
